@@ -6,16 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.llm import shards
+from lodestrata.llm.decontaminate import contamination_report
+from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.shared import documents
 from lodestrata.llm.simhash import simhash_groups
 
 
+def vocabulary() -> str:
+    """The file that the packing query counts tokens by; another is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(documents(spark, sf_dir))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op3_extendible_shards": op3_extendible_shards,
+    "op5_decontaminate": op5_decontaminate,
+    "op10_pack": op10_pack,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_extendible_shards": shards.ORACLE}
