@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrata.llm import shards
 from lodestrata.llm.decontaminate import contamination_report
 from lodestrata.llm.packing import pack_documents
+from lodestrata.llm.quality import fit_quality, quality_scores
 from lodestrata.llm.shared import documents
 from lodestrata.llm.simhash import simhash_groups
+from lodestrata.llm.toxicity import fit_toxicity, toxicity_scores
 
 
 def vocabulary() -> str:
@@ -32,6 +34,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity_scores(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_scores(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary())
 
@@ -40,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_extendible_shards": op3_extendible_shards,
     "op5_decontaminate": op5_decontaminate,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op10_pack": op10_pack,
 }
 
