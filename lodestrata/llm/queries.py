@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import shards
+from lodestrata.llm import embeddings, shards
 from lodestrata.llm.decontaminate import contamination_report
 from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.quality import fit_quality, quality_scores
@@ -30,6 +30,10 @@ def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -51,10 +55,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_extendible_shards": op3_extendible_shards,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op10_pack": op10_pack,
 }
 
-ORACLES: dict[str, str] = {"op3_extendible_shards": shards.ORACLE}
+ORACLES: dict[str, str] = {"op3_extendible_shards": shards.ORACLE, "op4_embedding_dedup": embeddings.ORACLE}
