@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import embeddings, shards
+from lodestrata.llm.ctw import lm_scores
 from lodestrata.llm.decontaminate import contamination_report
 from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.quality import fit_quality, quality_scores
@@ -48,6 +49,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary())
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_lm_score": op9_lm_score,
     "op10_pack": op10_pack,
 }
 
