@@ -30,8 +30,8 @@ from lodestrata.llm.shared import bounded_batches, slices, stored, utf8
 from lodestrata.llm.textkernel import LOWER, NOT_SPACE, buffer, mix, rows_of, span_hashes, spans
 
 DEPTH = 5
-NODES = 4_000_000
-FREQUENT = 1_000_000
+NODES = 2_000_000
+FREQUENT = 400_000
 END = 10
 #: The hash of the end token; a word's hash is that of its bytes.
 END_TOKEN = np.uint64(0x5851F42D4C957F2D)
@@ -260,10 +260,10 @@ def learn_tree(gram_counts: DataFrame, depth: int = DEPTH, nodes: int = NODES) -
             break
         least = step
     kept = deep.where((F.col("depth") <= 2) | (F.floor(weight) >= least))
-    got = kept.select("depth", "key", "zeros", "ones", "share").toArrow()
-    d, key, zeros, ones, share = (got.column(i).to_numpy() for i in range(5))
-    d, key = d.astype(np.uint64), key.astype(np.int64).view(np.uint64)
-    ids, one, shares = [d << np.uint64(56) | key], [(ones + 0.5) / (zeros + ones + 1)], [share]
+    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    got = kept.select(F.shiftleft(F.col("depth").cast("long"), 56).bitwiseOR(F.col("key")).alias("id"), estimate.cast("float"), F.col("share").cast("float")).toArrow()
+    ids, one, shares = [got.column(0).to_numpy().astype(np.int64).view(np.uint64)], [got.column(1).to_numpy()], [got.column(2).to_numpy()]
+    del got
     if depth >= 2:
         up = F.expr("key & 65535").alias("up")
         rows = deep.where("depth = 2").groupBy(up).agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # 65,280 at most

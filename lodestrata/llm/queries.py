@@ -13,6 +13,7 @@ from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.quality import fit_quality, quality_scores
 from lodestrata.llm.shared import documents
 from lodestrata.llm.simhash import simhash_groups
+from lodestrata.llm.suffixes import string_report
 from lodestrata.llm.toxicity import fit_toxicity, toxicity_scores
 
 
@@ -39,6 +40,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_report(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity_scores(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_extendible_shards": op3_extendible_shards,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_lm_score": op9_lm_score,
