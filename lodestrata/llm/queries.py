@@ -10,6 +10,7 @@ from lodestrata.llm import embeddings, shards
 from lodestrata.llm.ctw import lm_scores
 from lodestrata.llm.decontaminate import contamination_report
 from lodestrata.llm.packing import pack_documents
+from lodestrata.llm.pii import pii_report
 from lodestrata.llm.quality import fit_quality, quality_scores
 from lodestrata.llm.shared import documents
 from lodestrata.llm.simhash import simhash_groups
@@ -28,6 +29,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(documents(spark, sf_dir))
+
+
 def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_pii": op2_pii,
     "op3_extendible_shards": op3_extendible_shards,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_decontaminate": op5_decontaminate,
