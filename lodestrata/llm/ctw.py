@@ -32,6 +32,8 @@ from lodestrata.llm.textkernel import LOWER, NOT_SPACE, buffer, mix, rows_of, sp
 DEPTH = 5
 NODES = 2_000_000
 FREQUENT = 400_000
+#: Bytes of text that are scored together.
+SLICE = 1 << 20
 END = 10
 #: The hash of the end token; a word's hash is that of its bytes.
 END_TOKEN = np.uint64(0x5851F42D4C957F2D)
@@ -81,7 +83,7 @@ def _places(begin, end, size, depth):
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma for x >= 0.5, to about 1e-12."""
+    """log Gamma for x >= 0.5, to about 1e-11."""
     y = x + 7
     rise = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(rise)
@@ -141,7 +143,7 @@ def _count(depth: int):
     def run(batches):
         held = {0: [], 1: []}
         size = {0: 0, 1: 0}
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             raw, off = buffer(b.column(0))
             text, begin, end = normal_bytes(raw, off, depth)
             lowered = LOWER[raw]
@@ -150,10 +152,10 @@ def _count(depth: int):
                 key, n = np.unique(key, return_counts=True)
                 held[kind].append((key, n))
                 size[kind] += len(key)
-                if size[kind] > 3_000_000:
+                if size[kind] > 1_500_000:
                     held[kind] = [flush(kind, held[kind])]
                     size[kind] = len(held[kind][0][0])
-                    if size[kind] > 2_000_000:
+                    if size[kind] > 1_000_000:
                         key, n = held[kind][0]
                         yield pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], schema=schema)
                         held[kind], size[kind] = [], 0
@@ -311,7 +313,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held: int = 2
     def run(batches):
         tree, keys, logs = sent.value
         part, at = TaskContext.get().partitionId(), 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             raw, off = buffer(b.column(0))
             n = b.num_rows
             text, begin, end = normal_bytes(raw, off, depth)

@@ -99,4 +99,4 @@ def test_a_small_tree_still_scores_every_text(docs):
 
 def test_lgamma():
     x = np.array([0.5, 1.0, 1.5, 3.0, 10.5, 1e3, 1e9])
-    assert np.allclose(lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
+    assert np.allclose(lgamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
