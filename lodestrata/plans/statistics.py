@@ -1 +1,227 @@
-"""."""
+"""Aggregations and ranking: sections 2.4 and 2.5 of the survey."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodestrata.functions import columns as C
+from lodestrata.operators import inventory as I
+from lodestrata.operators import ranking as K
+from lodestrata.plans.registry import query
+from lodestrata.plans.relations import _RANK60, ranked_lists
+from lodestrata.sources.views import duck
+
+
+@query("root_stats", duck("SELECT root_label, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, round(avg(size_bytes), 6) AS mean_bytes, min(size_bytes) AS least, max(size_bytes) AS most, count(DISTINCT split_part(relative_path, '/', 1)) AS folders FROM items GROUP BY root_label", "items"))
+def root_stats(t):
+    return t.items().groupBy("root_label").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), F.round(F.avg("size_bytes"), 6).alias("mean_bytes"), F.min("size_bytes").alias("least"), F.max("size_bytes").alias("most"), F.countDistinct(F.substring_index("relative_path", "/", 1)).alias("folders"))
+
+
+@query("extension_stats", "WITH e AS (SELECT p_size % 7 AS ext, p_type AS mt, p_retailprice AS b FROM part), c AS (SELECT ext, mt, count(*) AS n FROM e GROUP BY ALL), m AS (SELECT ext, mt AS media_type FROM (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY n DESC, mt) AS rn FROM c) WHERE rn = 1) SELECT ext, media_type, count(*) AS files, round(sum(b), 2) AS bytes FROM e JOIN m USING (ext) GROUP BY ALL")
+def extension_stats(t):
+    e = t.part.select((F.col("p_size") % 7).alias("ext"), F.col("p_type").alias("mt"), F.col("p_retailprice").alias("b"))
+    sums = e.groupBy("ext").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("b"), 2).alias("bytes"))
+    return I.modal(e, ["ext"], "mt", "media_type").join(sums, "ext").select("ext", "media_type", "files", "bytes")
+
+
+_COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+
+
+@query("catalog_status", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(*) = 0 AS is_empty FROM {n}" for n in _COUNTED))
+def catalog_status(t):
+    out = None
+    for n in _COUNTED:
+        one = getattr(t, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows", (F.col("n_rows") == 0).alias("is_empty"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("doc_count", duck("SELECT root_label, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks FROM chunks GROUP BY root_label", "chunks"))
+def doc_count(t):
+    return t.chunks().groupBy("root_label").agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query("album_collapse", "SELECT album, distance, best, row_number() OVER (ORDER BY distance, album) AS position FROM (SELECT label AS album, min(distance) AS distance, min_by(vec_id, distance * 1e6 + vec_id / 1e6) AS best FROM (SELECT a.vec_id, a.label, round(list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2 for i in range(1, 65)]), 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY distance, a.vec_id LIMIT 20) GROUP BY label) ORDER BY distance, album LIMIT 5")
+def album_collapse(t):
+    q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", "label", F.round(C.l2("embedding", "q"), 6).alias("distance")).orderBy("distance", "vec_id").limit(20)
+    best = near.groupBy(F.col("label").alias("album")).agg(F.min("distance").alias("distance"), F.min_by("vec_id", F.struct("distance", "vec_id")).alias("best")).orderBy("distance", "album").limit(5)
+    return best.select("album", "distance", "best", F.row_number().over(Window.orderBy("distance", "album")).cast("long").alias("position"))
+
+
+@query("value_counts", "SELECT string_agg(v || '=' || n, ',' ORDER BY v) AS histogram FROM (SELECT c_mktsegment AS v, count(*) AS n FROM customer WHERE trim(c_mktsegment, ' ') <> '' GROUP BY 1)")
+def value_counts(t):
+    counts = t.customer.where(F.trim("c_mktsegment") != "").groupBy(F.col("c_mktsegment").alias("v")).count()
+    return counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", "count"))), lambda x: F.concat(x["v"], F.lit("="), x["count"])), ",").alias("histogram"))
+
+
+@query("dominant_kind", "SELECT user_id, event_type AS kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rn FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE rn = 1")
+def dominant_kind(t):
+    return I.modal(t.events, ["user_id"], "event_type", "kind")
+
+
+@query("modality", "SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) ELSE 'mixed' END AS modality FROM orders GROUP BY o_custkey")
+def modality(t):
+    return t.orders.groupBy("o_custkey").agg(F.when(F.min("o_orderstatus") == F.max("o_orderstatus"), F.min("o_orderstatus")).otherwise("mixed").alias("modality"))
+
+
+@query("combine_counts", "SELECT event_type AS counter, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, count(*) AS reports FROM events GROUP BY 1")
+def combine_counts(t):
+    return t.events.groupBy(F.col("event_type").alias("counter")).agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"), F.count(F.lit(1)).alias("reports"))
+
+
+@query("coverage", "SELECT user_id, round(coalesce(count_if(event_type = 'click') / nullif(count_if(event_type = 'view'), 0), 0), 6) AS coverage FROM events GROUP BY user_id")
+def coverage(t):
+    return t.events.groupBy("user_id").agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("event_type") == "click").cast("double"), F.count_if(F.col("event_type") == "view")), F.lit(0.0)), 6).alias("coverage"))
+
+
+@query("timing_summary", "SELECT event_type, count(*) AS n, round(avg(value), 1) AS mean, list_sort(list(value))[count(*) // 2 + 1] AS p50, max(value) AS most FROM events GROUP BY event_type")
+def timing_summary(t):
+    """The upper median is an order statistic: ranks within the group, so no group is gathered in one row."""
+    n = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 1).alias("mean"), F.max("value").alias("most"))
+    per = t.events.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("m"))
+    upto = per.withColumn("upto", F.sum("m").over(Window.partitionBy("event_type").orderBy("value")))
+    mid = upto.join(n, "event_type").where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("event_type", "n", "mean", "most").agg(F.min("value").alias("p50"))
+    return mid.select("event_type", "n", "mean", "p50", "most")
+
+
+@query("scope_hit_counts", "SELECT n_name AS scope, count(c_custkey) AS hits FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000 AND c_nationkey % 3 <> 0) ON c_nationkey = n_nationkey GROUP BY n_name")
+def scope_hit_counts(t):
+    hits = t.customer.where("c_acctbal > 5000 AND c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).count()
+    return t.nation.join(hits, "n_nationkey", "left").select(F.col("n_name").alias("scope"), F.coalesce("count", F.lit(0).cast("long")).alias("hits"))
+
+
+_RANKED = "ranked AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), judged AS (SELECT source AS query, doc_id AS item FROM documents WHERE doc_id % 9 = 0 AND source <> 'src6')"
+_METRICS = "per AS (SELECT j.query, count(*) AS n, count_if(rank <= 5) AS h5, count_if(rank <= 20) AS h20, min(rank) AS f, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM judged j LEFT JOIN ranked r USING (query, item) GROUP BY j.query), m AS (SELECT query, round(h5 / n, 4) AS recall_at_5, round(h20 / n, 4) AS recall_at_20, round(dcg / list_sum([1 / log2(i + 1) for i in range(1, least(n, 10) + 1)]), 4) AS ndcg_at_10, round(coalesce(1 / f, 0), 4) AS mrr FROM per)"
+
+
+def _metrics(t):
+    ranked = t.documents.select(F.col("source").alias("query"), F.col("doc_id").alias("item"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    judged = t.documents.where("doc_id % 9 = 0 AND source <> 'src6'").select(F.col("source").alias("query"), F.col("doc_id").alias("item"))
+    return K.metrics(ranked, judged)
+
+
+@query("recall_at_k", f"WITH {_RANKED}, {_METRICS} SELECT query, recall_at_5, recall_at_20 FROM m")
+def recall_at_k(t):
+    return _metrics(t).select("query", "recall_at_5", "recall_at_20")
+
+
+@query("mrr", f"WITH {_RANKED}, {_METRICS} SELECT query, mrr FROM m")
+def mrr(t):
+    return _metrics(t).select("query", "mrr")
+
+
+@query("ndcg_at_k", f"WITH {_RANKED}, {_METRICS} SELECT query, ndcg_at_10 FROM m")
+def ndcg_at_k(t):
+    return _metrics(t).select("query", "ndcg_at_10")
+
+
+_PASSAGES = "judged AS (SELECT item_id::VARCHAR AS query, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ranked AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY n_chars, item) AS rank FROM (SELECT item_id::VARCHAR AS query, doc_id AS item, n_chars FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 30))))"
+
+
+@query("eval_report", f"WITH {_PASSAGES}, {_METRICS} SELECT * FROM m")
+def eval_report(t):
+    """All queries in one plan: benchmark passages, judged by whole containment, ranked by how short the document with their beginning is."""
+    from lodestrata.operators.passages import containing
+
+    judged = containing(t.documents, t.benchmark, F.col("text")).select(F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("item"))
+    hits = containing(t.documents, t.benchmark, F.substring("text", 1, 30))
+    w = Window.partitionBy("item_id").orderBy("n_chars", "doc_id")
+    ranked = hits.select(F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("item"), F.row_number().over(w).alias("rank"))
+    return K.metrics(ranked, judged)
+
+
+@query("mean_vector", "SELECT label, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY label)")
+def mean_vector(t):
+    """Element-wise means by one aggregation whose state is 64 sums, not exploded rows."""
+    means = t.embeddings.groupBy("label").agg(F.array(*(F.avg(F.element_at("embedding", i).cast("double")) for i in range(1, 65))).alias("v"))
+    return means.select("label", F.round(C.dot("v", "v"), 6).alias("norm2"), F.round(F.element_at(C.unit("v"), 1), 6).alias("first"))
+
+
+_BUDGET = "greatest(1, least(CASE WHEN abs((1 + 2 * log10(greatest(n, 1))) - floor(1 + 2 * log10(greatest(n, 1))) - 0.5) < 1e-12 THEN 2 * round((1 + 2 * log10(greatest(n, 1))) / 2) ELSE round(1 + 2 * log10(greatest(n, 1))) END, 20))::INTEGER"
+_SELECT = f"per AS (SELECT root_id, sum(source_count)::BIGINT AS n, count_if(kind IN ('root_summary', 'album_summary')) AS r FROM units GROUP BY root_id), sel AS (SELECT u.*, {_BUDGET} AS budget, r, row_number() OVER (PARTITION BY u.root_id, kind IN ('root_summary', 'album_summary') ORDER BY coalesce(importance, 0) DESC, coalesce(coverage, 0) DESC, summary_id) AS rn FROM units u JOIN per USING (root_id)), kept AS (SELECT *, kind IN ('root_summary', 'album_summary') OR rn <= greatest(0, budget - r) AS kept FROM sel)"
+
+
+@query("entry_budget", duck(f"WITH {_SELECT} SELECT root_id, n AS source_total, {_BUDGET} AS budget FROM per", "units").replace("WITH RECURSIVE", "WITH"))
+def entry_budget(t):
+    return t.units().groupBy("root_id").agg(F.sum("source_count").alias("source_total")).withColumn("budget", C.entry_budget("source_total", 20))
+
+
+@query("budget_select", duck(f"WITH {_SELECT} SELECT summary_id, root_id, budget, kept FROM kept", "units"))
+def budget_select(t):
+    return K.budgeted(t.units()).select("summary_id", "root_id", "budget", "kept")
+
+
+@query("negative_rollup", duck(f"WITH {_SELECT} SELECT 'neg_' || root_id AS summary_id, root_id, min_by(scope_id, rn) AS scope_id, list_slice(list_sort(list(DISTINCT title)), 1, 25) AS titles, sum(source_count)::BIGINT AS source_count, 0.05::DOUBLE AS importance FROM kept WHERE NOT kept GROUP BY root_id", "units"))
+def negative_rollup(t):
+    return K.rollup_dropped(K.budgeted(t.units()))
+
+
+@query("dedupe_ranked", "SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY r, path) AS rank FROM (SELECT source, lang AS path, min(n_chars * 1000000 + doc_id) AS r FROM documents GROUP BY ALL)")
+def dedupe_ranked(t):
+    first = t.documents.groupBy("source", F.col("lang").alias("path")).agg(F.min(F.col("n_chars") * 1000000 + F.col("doc_id")).alias("r"))
+    return first.select("source", "path", F.row_number().over(Window.partitionBy("source").orderBy("r", "path")).cast("long").alias("rank"))
+
+
+@query("sample_roundrobin", duck("SELECT doc_id, order_index, root_label, position FROM (SELECT *, row_number() OVER (PARTITION BY root_label ORDER BY rn > 1, doc_id, order_index, chunk_id) AS position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY order_index, chunk_id) AS rn FROM chunks)) WHERE position <= 30", "chunks"))
+def sample_roundrobin(t):
+    """One chunk of each document first, then the rest in order."""
+    rows = t.chunks().withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("order_index", "chunk_id")))
+    w = Window.partitionBy("root_label").orderBy(F.col("rn") > 1, "doc_id", "order_index", "chunk_id")
+    return rows.withColumn("position", F.row_number().over(w).cast("long")).where("position <= 30").select("doc_id", "order_index", "root_label", "position")
+
+
+@query("select_scopes", "SELECT source AS scope_id, r AS rank FROM (SELECT source, min(n_chars * 1000000 + doc_id) AS r FROM documents GROUP BY source) ORDER BY r LIMIT 4")
+def select_scopes(t):
+    return t.documents.groupBy(F.col("source").alias("scope_id")).agg(F.min(F.col("n_chars") * 1000000 + F.col("doc_id")).alias("rank")).orderBy("rank").limit(4)
+
+
+@query("score_gap", "SELECT user_id, event_id, round(value - lead(value) OVER (PARTITION BY user_id ORDER BY value DESC, event_id), 6) AS gap FROM events")
+def score_gap(t):
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    return t.events.select("user_id", "event_id", F.round(F.col("value") - F.lead("value").over(w), 6).alias("gap"))
+
+
+@query("apply_ranking", f"WITH {_RANK60}, top AS (SELECT key, rank FROM cut WHERE backend = 'fts'), told AS (SELECT key, row_number() OVER (ORDER BY key) AS p FROM top WHERE rank % 4 = 0) SELECT key, row_number() OVER (ORDER BY coalesce(p, 1000000), rank) AS position, CASE WHEN p IS NOT NULL THEN round(1.0::DOUBLE / p, 6) END AS rerank_score FROM top LEFT JOIN told USING (key)")
+def apply_ranking(t):
+    """Listed keys first, in their order, the rest as before: 60 rows."""
+    top = ranked_lists(t).where("backend = 'fts'").select("key", "rank")
+    told = top.where("rank % 4 = 0").select("key", F.row_number().over(Window.orderBy("key")).alias("p"))
+    both = top.join(told, "key", "left")
+    return both.select("key", F.row_number().over(Window.orderBy(F.coalesce("p", F.lit(1000000)), "rank")).cast("long").alias("position"), F.when(F.col("p").isNotNull(), F.round(1.0 / F.col("p"), 6)).alias("rerank_score"))
+
+
+@query("recursive_deepening", duck("SELECT root_id, summary_id, position FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY CASE kind WHEN 'root_summary' THEN 0 WHEN 'album_summary' THEN 1 ELSE 2 END, coalesce(importance, 0) DESC, coalesce(coverage, 0) DESC, summary_id) AS position FROM units WHERE scope_id IN ('en', 'fr')) WHERE position <= 5", "units"))
+def recursive_deepening(t):
+    level = F.when(F.col("kind") == "root_summary", 0).when(F.col("kind") == "album_summary", 1).otherwise(2)
+    w = Window.partitionBy("root_id").orderBy(level, F.desc(F.coalesce("importance", F.lit(0.0))), F.desc(F.coalesce("coverage", F.lit(0.0))), "summary_id")
+    return t.units().where(F.col("scope_id").isin("en", "fr")).withColumn("position", F.row_number().over(w).cast("long")).where("position <= 5").select("root_id", "summary_id", "position")
+
+
+@query("fuse_representatives", f"WITH {_RANK60} SELECT key, min_by(backend, rank * 10 + CASE backend WHEN 'fts' THEN 0 ELSE 1 END) AS payload, list_sort(list(DISTINCT backend)) AS modes, min(rank) AS best_rank FROM cut GROUP BY key")
+def fuse_representatives(t):
+    return ranked_lists(t).groupBy("key").agg(F.min_by("backend", F.struct("rank", "backend")).alias("payload"), F.array_sort(F.collect_set("backend")).alias("modes"), F.min("rank").alias("best_rank"))
+
+
+@query("ema_throughput", "WITH RECURSIVE s AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value >= 50), e(user_id, i, v) AS (SELECT user_id, i, x FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, 0.7::DOUBLE * e.v + 0.3::DOUBLE * s.x FROM e JOIN s ON s.user_id = e.user_id AND s.i = e.i + 1) SELECT user_id, round(max_by(v, i), 6) AS tokens_per_sec, max(i) AS samples FROM e GROUP BY user_id")
+def ema_throughput(t):
+    """The fold in closed form: the k-th sample from the end weighs 0.3 * 0.7^k, the first 0.7^(n-1); a window and a sum, whatever a user's length."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    s = t.events.where("value >= 50").withColumn("k", F.row_number().over(w) - 1)
+    n = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.when(F.col("k") == F.col("n") - 1, F.pow(F.lit(0.7), "k")).otherwise(0.3 * F.pow(F.lit(0.7), "k"))
+    return s.join(n, "user_id").groupBy("user_id").agg(F.round(F.sum(weight * F.col("value")), 6).alias("tokens_per_sec"), F.max("n").alias("samples"))
+
+
+@query("topn_other", "SELECT CASE WHEN rn <= 7 THEN n_name ELSE 'other' END AS slice, sum(n)::BIGINT AS n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, n_name) AS rn FROM (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name)) GROUP BY 1")
+def topn_other(t):
+    n = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).count().join(t.nation, "n_nationkey")
+    ranked = n.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("count"), "n_name")))  # a row a nation
+    return ranked.groupBy(F.when(F.col("rn") <= 7, F.col("n_name")).otherwise("other").alias("slice")).agg(F.sum("count").alias("n"))
+
+
+@query("report_bars", "SELECT n_name, n, (n / max(n) OVER () * 100)::DOUBLE // 1 AS width FROM (SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)")
+def report_bars(t):
+    n = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n")).join(t.nation, "n_nationkey").select("n_name", "n")
+    return n.crossJoin(n.agg(F.max("n").alias("m"))).select("n_name", "n", F.floor(F.col("n") / F.col("m") * 100).cast("double").alias("width"))
