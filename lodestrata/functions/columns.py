@@ -131,7 +131,7 @@ def unit(v: str | Column) -> Column:
 def importance(text: str | Column) -> Column:
     """The number of the last line "IMPORTANCE: x" or "IMPORTANCE = x", within 0 to 1; null without one."""
     found = F.regexp_extract_all(col(text), F.lit(r"(?im)^\s*importance\s*[:=]\s*([0-9]*\.?[0-9]+)\s*$"), 1)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_element_at(found, F.lit(-1)).cast("double")))
+    return F.when(F.size(found) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_element_at(found, F.lit(-1)).cast("double"))))
 
 
 def vocabulary_vector(text: str | Column, vocabulary: list[str]) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.columns import tokens
@@ -10,6 +12,10 @@ from lodestrata.functions.columns import tokens
 K1, B = 1.2, 0.75
 
 
+def _equal(word: str, t: Column) -> Column:
+    return t == word
+
+
 def postings(docs: DataFrame, scope: str, key: str, text: str) -> DataFrame:
     """(scope, key, term, tf); aggregated before the shuffle."""
     each = docs.select(scope, key, F.explode(tokens(text)).alias("term"))
@@ -25,7 +31,7 @@ def bm25(docs: DataFrame, terms: list[str], scope: str = "source", key: str = "d
     """
     terms = sorted(set(terms))
     toks = docs.select(scope, key, tokens(text).alias("_t"))
-    counts = F.array(*(F.size(F.filter("_t", lambda t, w=w: t == w)) for w in terms))
+    counts = F.array(*(F.size(F.filter("_t", partial(_equal, w))) for w in terms))
     rows = toks.select(scope, key, F.size("_t").alias("dl"), counts.alias("tfs"))
     stats = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tfs")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)

@@ -1 +1,102 @@
-"""."""
+"""Scalar functions: section 2.9 of the survey."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.functions import columns as C
+from lodestrata.plans.registry import query
+from lodestrata.sources.views import _SPACE, sid
+
+
+@query("fn_collapse_ws", f"SELECT doc_id, trim(regexp_replace(text, '{_SPACE}', ' ', 'g'), ' ') AS body FROM documents")
+def fn_collapse_ws(t):
+    return t.documents.select("doc_id", C.collapse_ws("text").alias("body"))
+
+
+@query("fn_truncate", "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 497) || '...' ELSE text END AS preview FROM documents")
+def fn_truncate(t):
+    return t.documents.select("doc_id", C.truncate("text", 500).alias("preview"))
+
+
+@query("fn_path", r"SELECT page_id, path, regexp_replace(split_part(path, '/', -1), '(.)\.[^.]+$', '\1') AS stem, len(string_split(path, '/')) AS depth, replace(replace(regexp_replace(split_part(path, '/', -1), '(.)\.[^.]+$', '\1'), '_', ' '), '-', ' ') AS label FROM (SELECT page_id, 'site/a_b-' || page_id || '/in-dex_' || page_id || '.tar.gz' AS path FROM pages)")
+def fn_path(t):
+    p = t.pages.select("page_id", F.concat(F.lit("site/a_b-"), "page_id", F.lit("/in-dex_"), "page_id", F.lit(".tar.gz")).alias("path"))
+    return p.select("page_id", "path", C.stem("path").alias("stem"), F.size(F.split("path", "/")).cast("long").alias("depth"), F.translate(C.stem("path"), "_-", "  ").alias("label"))
+
+
+@query("fn_slug", "SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
+def fn_slug(t):
+    return t.pages.select("page_id", C.slug("url").alias("slug"))
+
+
+@query("fn_bytes", "SELECT s, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KiB', s / 1024.0::DOUBLE) WHEN s < 1073741824 THEN printf('%.1f MiB', s / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', s / 1073741824.0::DOUBLE) END AS shown FROM (SELECT DISTINCT n_chars * n_chars * 7 + 1 AS s FROM documents)")
+def fn_bytes(t):
+    return t.documents.select((F.col("n_chars") * F.col("n_chars") * 7 + 1).alias("s")).distinct().select("s", C.human_bytes("s").alias("shown"))
+
+
+@query("fn_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso FROM events")
+def fn_iso(t):
+    return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso"))
+
+
+@query("fn_try_dates", "SELECT o_orderkey, coalesce(try_strptime(s, '%Y:%m:%d'), try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%d.%m.%Y')) AS d FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y:%m:%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE 'never' END AS s FROM orders)")
+def fn_try_dates(t):
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    s = F.when(k == 0, F.date_format(d, "yyyy:MM:dd")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.date_format(d, "dd.MM.yyyy")).otherwise("never")
+    parsed = F.coalesce(*(F.try_to_timestamp("s", F.lit(f)) for f in ("yyyy:MM:dd", "yyyy-MM-dd", "dd.MM.yyyy")))
+    return t.orders.select("o_orderkey", s.alias("s")).select("o_orderkey", parsed.cast("timestamp_ntz").alias("d"))
+
+
+@query("fn_try_cast", "SELECT c_custkey, try_cast(s AS INTEGER) AS n, try_cast(s AS DOUBLE) AS x, nullif(trim(s, ' '), '') AS s FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '12' WHEN 1 THEN ' ' WHEN 2 THEN 'x1' ELSE '42' END AS s FROM customer)")
+def fn_try_cast(t):
+    k = F.col("c_custkey") % 4
+    s = F.when(k == 0, "12").when(k == 1, " ").when(k == 2, "x1").otherwise("42")
+    return t.customer.select("c_custkey", s.alias("s")).select("c_custkey", F.expr("try_cast(s AS int)").alias("n"), F.expr("try_cast(s AS double)").alias("x"), F.nullif(F.trim("s"), F.lit("")).alias("s"))
+
+
+@query("fn_json_get", "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events")
+def fn_json_get(t):
+    """Lenient: what isn't an object has no fields."""
+    text = F.when(F.col("event_id") % 10 == 0, "[broken").otherwise(F.col("props"))
+    return t.events.select("event_id", F.try_variant_get(F.try_parse_json(text), "$.k", "bigint").alias("k"))
+
+
+@query("fn_json_enc", """SELECT n_nationkey, '{"key":' || n_nationkey || ',"name":"' || n_name || '"}' AS doc FROM nation""")
+def fn_json_enc(t):
+    return t.nation.select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("doc"))
+
+
+@query("fn_first", "SELECT doc_id, string_split(text, ' ')[1] AS first FROM documents")
+def fn_first(t):
+    return t.documents.select("doc_id", F.try_element_at(F.split("text", " "), F.lit(1)).alias("first"))
+
+
+@query("fn_budget_math", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 2, 0) AS half_even, round(log10(greatest(l_extendedprice, 1)), 6) AS lg, greatest(0, least(1, l_discount * 12)) AS clamped FROM lineitem")
+def fn_budget_math(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 2, 0).alias("half_even"), F.round(F.log10(F.greatest("l_extendedprice", F.lit(1.0))), 6).alias("lg"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("l_discount") * 12)).alias("clamped"))
+
+
+@query("fn_vec_norm", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2 FROM embeddings")
+def fn_vec_norm(t):
+    return t.embeddings.select("vec_id", F.round(F.element_at(C.unit("embedding"), 1), 6).alias("first"), F.round(C.dot("embedding", "embedding"), 6).alias("norm2"))
+
+
+@query("fn_sha", f"SELECT page_id, sha256(html) AS sha, {sid('page', 'url')} AS page_key FROM pages")
+def fn_sha(t):
+    return t.pages.select("page_id", F.sha2("html", 256).alias("sha"), C.stable_id("page", "url").alias("page_key"))
+
+
+@query("fn_escape", "SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, replace(substr(text, 1, 200), '|', '\\|') AS cell FROM documents")
+def fn_escape(t):
+    x = F.substring("text", 1, 200)
+    html = x
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        html = F.replace(html, F.lit(a), F.lit(b))
+    return t.documents.select("doc_id", html.alias("html"), F.replace(x, F.lit("|"), F.lit("\\|")).alias("cell"))
+
+
+@query("fn_polar", "SELECT n_nationkey, round(50 + 40 * cos(radians(n_nationkey * 14.4::DOUBLE - 90)), 6) AS x, round(50 + 40 * sin(radians(n_nationkey * 14.4::DOUBLE - 90)), 6) AS y FROM nation")
+def fn_polar(t):
+    a = F.radians(F.col("n_nationkey") * F.lit(14.4) - 90)
+    return t.nation.select("n_nationkey", F.round(50 + 40 * F.cos(a), 6).alias("x"), F.round(50 + 40 * F.sin(a), 6).alias("y"))

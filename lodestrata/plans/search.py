@@ -1 +1,298 @@
-"""."""
+"""Search and routing: section 2.8 of the survey."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodestrata.functions import columns as C
+from lodestrata.operators import lexical as L
+from lodestrata.operators import ranking as K
+from lodestrata.operators import relations as R
+from lodestrata.operators import routing
+from lodestrata.operators.inventory import digest
+from lodestrata.plans.registry import query
+from lodestrata.plans.statistics import _SELECT
+from lodestrata.sources.views import duck
+
+TERMS = ["license", "version", "the", "tion"]
+_T = ", ".join(f"'{w}'" for w in TERMS)
+_BM25 = f"dl AS (SELECT source, doc_id, count(*) AS dl FROM toks GROUP BY ALL), n AS (SELECT d.source, count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM documents d LEFT JOIN dl USING (doc_id) GROUP BY d.source), tf AS (SELECT source, doc_id, term, count(*) AS tf FROM toks WHERE term IN ({_T}) GROUP BY ALL), df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL), bm25 AS (SELECT tf.source, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (source, term) JOIN n USING (source) JOIN dl USING (source, doc_id) GROUP BY ALL)"
+
+
+@query("tokenize", duck("SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, min(term) AS least FROM toks GROUP BY doc_id", "toks"))
+def tokenize(t):
+    x = t.documents.select("doc_id", C.tokens("text").alias("w")).where(F.size("w") > 0)
+    return x.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_terms"), F.array_min("w").alias("least"))
+
+
+@query("bm25_search", duck(f"WITH {_BM25} SELECT source, doc_id, score FROM bm25", "toks"))
+def bm25_search(t):
+    return L.bm25(t.documents, TERMS)
+
+
+@query("bm25_topk", duck(f"WITH {_BM25} SELECT source, doc_id, score, island_rank, 'corpus_cache.documents.' || doc_id AS ref FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS island_rank FROM bm25) WHERE island_rank <= 30 ORDER BY score DESC, doc_id LIMIT 30", "toks"))
+def bm25_topk(t):
+    top = L.island_top(L.bm25(t.documents, TERMS), "source", "doc_id", 30)
+    return top.select("source", "doc_id", "score", F.col("island_rank").cast("long").alias("island_rank"), C.evidence_ref("corpus_cache", "documents", F.col("doc_id").cast("string")).alias("ref"))
+
+
+@query("phrase_search", duck(r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, term, lead(term) OVER w AS b, lead(term, 2) OVER w AS c FROM (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '' AND octet_length(encode(t)) <= 40) AS l FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE term = 'licensed' AND b = 'under' AND c = 'the' GROUP BY doc_id"))
+def phrase_search(t):
+    return L.phrase(t.documents, ["licensed", "under", "the"])
+
+
+@query("lenient_query", duck("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM toks WHERE toks.doc_id = d.doc_id AND term = 'apache') AND (EXISTS (SELECT 1 FROM toks WHERE toks.doc_id = d.doc_id AND term = 'the') OR lang = 'fr') AND NOT EXISTS (SELECT 1 FROM toks WHERE toks.doc_id = d.doc_id AND term = 'idiot')", "toks"))
+def lenient_query(t):
+    from lodestrata.operators.querylang import matches
+
+    return t.documents.where(matches("+apache (the OR lang:fr) -idiot", {"": "text", "lang": "lang"})).select("doc_id")
+
+
+VOCAB = ["the", "ation", "ing", "license", "heit", "ment"]
+
+
+@query("embed_vocab", "SELECT doc_id, list_transform(v, lambda x: round(x / CASE WHEN n = 0 THEN 1 ELSE sqrt(n) END, 6)) AS vector FROM (SELECT doc_id, v, list_sum(v) AS n FROM (SELECT doc_id, [" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for w in VOCAB) + "] AS v FROM documents))")
+def embed_vocab(t):
+    return t.documents.select("doc_id", F.transform(C.vocabulary_vector("text", VOCAB), lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query("embed_hashing")
+def embed_hashing(t):
+    """Signed feature hashing of tokens to 64 dimensions, unit length; the default embedder without a model."""
+    w = t.documents.select("doc_id", F.explode(C.tokens("text")).alias("w")).groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(64)).alias("i")).agg(F.sum(F.when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("x"))
+    made = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return made.select("doc_id", C.unit(full).alias("vector"))
+
+
+_D = "round(list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2 for i in range(1, 65)]), 6)"
+
+
+def _near(t, q: int, k: int = 30, where: str = "true"):
+    query_vector = t.embeddings.where(F.col("vec_id") == q).select(F.col("embedding").alias("q"))  # one row
+    told = t.embeddings.where(where).crossJoin(F.broadcast(query_vector)).select("vec_id", "label", F.round(C.l2("embedding", "q"), 6).alias("distance"))
+    return told.orderBy("distance", "vec_id").limit(k)
+
+
+@query("vector_score", f"SELECT a.vec_id, {_D} AS distance, round(1 / (1 + {_D}), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 1")
+def vector_score(t):
+    q = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("q"))
+    return t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", F.round(C.l2("embedding", "q"), 6).alias("distance")).withColumn("score", F.round(1 / (1 + F.col("distance")), 6))
+
+
+@query("semantic_topk", f"SELECT a.vec_id, {_D} AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 2 ORDER BY distance, a.vec_id LIMIT 30")
+def semantic_topk(t):
+    return _near(t, 2).select("vec_id", "distance")
+
+
+@query("semantic_search", f"SELECT a.vec_id, a.label AS scope_id, {_D} AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 2 AND a.label IN (1, 3, 5) ORDER BY distance, a.vec_id LIMIT 30")
+def semantic_search(t):
+    """Scopes are pruned in the scan; stores are one table's partitions."""
+    return _near(t, 2, where="label IN (1, 3, 5)").select("vec_id", F.col("label").alias("scope_id"), "distance")
+
+
+@query("image_topk", f"SELECT a.vec_id AS asset_id, {_D} AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 3 AND len(a.embedding) = 64 ORDER BY distance, a.vec_id LIMIT 30")
+def image_topk(t):
+    return _near(t, 3, where="size(embedding) = 64").select(F.col("vec_id").alias("asset_id"), "distance")
+
+
+@query("image_search", f"SELECT a.vec_id AS asset_id, a.label AS scope_id, {_D} AS distance, round(1 / (1 + {_D}), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 4 ORDER BY distance, a.vec_id LIMIT 30")
+def image_search(t):
+    return _near(t, 4).select(F.col("vec_id").alias("asset_id"), F.col("label").alias("scope_id"), "distance", F.round(1 / (1 + F.col("distance")), 6).alias("score"))
+
+
+@query("store_skips", "SELECT label AS store, CASE label % 4 WHEN 0 THEN 'incompatible_profile' WHEN 1 THEN 'dimension_mismatch' END AS reason FROM embeddings WHERE label % 4 < 2 GROUP BY label")
+def store_skips(t):
+    stores = t.embeddings.groupBy(F.col("label").alias("store")).agg(F.min(F.size("embedding")).alias("dim"))
+    told = stores.select("store", F.when(F.col("store") % 4 == 0, "incompatible_profile").when((F.col("store") % 4 == 1) & (F.col("dim") == 64), "dimension_mismatch").alias("reason"))
+    return told.where("reason IS NOT NULL")
+
+
+_HYBRID = f"{_BM25}, f AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm25), q AS (SELECT doc_id AS key, row_number() OVER (ORDER BY d, doc_id) AS r FROM (SELECT doc_id, round(list_sum(list_transform(v, lambda x: (x / CASE WHEN n = 0 THEN 1 ELSE sqrt(n) END) ** 2)) - 2 * (v[1] + v[4]) / sqrt(2) / CASE WHEN n = 0 THEN 1 ELSE sqrt(n) END + 1, 6) AS d FROM (SELECT doc_id, v, list_sum(v) AS n FROM (SELECT doc_id, [" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for w in VOCAB) + "] AS v FROM documents)))), c AS (SELECT key, 'fts' AS b, r FROM f WHERE r <= 60 UNION ALL SELECT key, 'semantic', r FROM q WHERE r <= 60)"
+
+
+@query("hybrid_search", duck(f"WITH {_HYBRID} SELECT key, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, list_sort(list(b)) AS backends, min(r) AS best_rank FROM c GROUP BY key ORDER BY score DESC, best_rank, key LIMIT 30", "toks"))
+def hybrid_search(t):
+    """BM25 and vector candidates, 60 of each, fused by reciprocal ranks."""
+    f = L.bm25(t.documents, TERMS).orderBy(F.desc("score"), "doc_id").limit(60).select(F.col("doc_id").alias("key"), F.struct((-F.col("score")).alias("x"), "doc_id").alias("o"), F.lit("fts").alias("backend"))
+    target = C.unit(F.array(*(F.lit(1.0 if w in ("the", "license") else 0.0) for w in VOCAB)))
+    d = t.documents.select("doc_id", F.round(C.l2(C.vocabulary_vector("text", VOCAB), target), 6).alias("d")).orderBy("d", "doc_id").limit(60)
+    s = d.select(F.col("doc_id").alias("key"), F.struct(F.col("d").alias("x"), "doc_id").alias("o"), F.lit("semantic").alias("backend"))
+    ranked = f.unionByName(s).select("key", "backend", F.row_number().over(Window.partitionBy("backend").orderBy("o")).cast("long").alias("rank"))
+    return R.rrf(ranked).orderBy(F.desc("score"), "best_rank", "key").limit(30)
+
+
+@query("backend_status", "SELECT user_id, CASE WHEN count_if(event_type IN ('view', 'click')) = 0 THEN 'failed' WHEN count_if(event_type = 'error') > 0 THEN 'partial' ELSE 'ok' END AS status FROM events GROUP BY user_id")
+def backend_status(t):
+    good, bad = F.count_if(F.col("event_type").isin("view", "click")), F.count_if(F.col("event_type") == "error")
+    return t.events.groupBy("user_id").agg(F.when(good == 0, "failed").when(bad > 0, "partial").otherwise("ok").alias("status"))
+
+
+@query("rerank_stub")
+def rerank_stub(t):
+    """The rerank hook with a deterministic reranker over the 60 candidates: shorter documents first."""
+    top = L.bm25(t.documents, TERMS).orderBy(F.desc("score"), "doc_id").limit(60)
+    return routing.rerank(top.join(t.documents.select("doc_id", "n_chars"), "doc_id"), lambda pdf: pdf.sort_values(["n_chars", "doc_id"]).doc_id.tolist())
+
+
+@query("image_index_build", "SELECT label AS scope_id, count(*) AS n_rows, sha256('img64' || string_agg(sha256(vec_id::VARCHAR), '' ORDER BY vec_id)) AS watermark FROM embeddings GROUP BY label")
+def image_index_build(t):
+    return digest(t.embeddings, ["label"], F.col("vec_id"), F.col("vec_id").cast("string"), "img64").select(F.col("label").alias("scope_id"), "n_rows", "watermark")
+
+
+@query("fts_index_build", duck("SELECT root_label, count(*) AS n_rows, sha256('default' || string_agg(sha256(body), '' ORDER BY chunk_id)) AS watermark FROM chunks GROUP BY root_label", "chunks"))
+def fts_index_build(t):
+    return digest(t.chunks(), ["root_label"], F.col("chunk_id"), F.col("body"), "default").select("root_label", "n_rows", "watermark")
+
+
+@query("semantic_index_build", duck("SELECT root_label, count(*) AS n_rows, sha256('vocab6' || string_agg(sha256(body), '' ORDER BY chunk_id)) AS watermark FROM chunks WHERE body <> '' GROUP BY root_label", "chunks"))
+def semantic_index_build(t):
+    return digest(t.chunks().where("body <> ''"), ["root_label"], F.col("chunk_id"), F.col("body"), "vocab6").select("root_label", "n_rows", "watermark")
+
+
+_UTOK = r"ut AS (SELECT summary_id, scope_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM units), udl AS (SELECT summary_id, count(*) AS dl FROM ut GROUP BY 1), un AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM units LEFT JOIN udl USING (summary_id)), utf AS (SELECT summary_id, term, count(*) AS tf FROM ut WHERE term IN ('the', 'of', 'and') GROUP BY ALL), udf AS (SELECT term, count(*) AS df FROM utf GROUP BY 1), route AS (SELECT summary_id, row_number() OVER (ORDER BY score DESC, summary_id) AS rank, score FROM (SELECT summary_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM utf JOIN udf USING (term) JOIN udl USING (summary_id), un GROUP BY summary_id) ORDER BY rank LIMIT 12)"
+
+
+def _route(t):
+    units = t.units().withColumn("all", F.lit("all"))
+    hits = L.bm25(units, ["the", "of", "and"], "all", "summary_id", "title").orderBy(F.desc("score"), "summary_id").limit(12)
+    return hits.select("summary_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "summary_id")).cast("long").alias("rank"))
+
+
+@query("route_lexical", duck(f"WITH {_UTOK} SELECT * FROM route", "units"))
+def route_lexical(t):
+    return _route(t)
+
+
+@query("route_semantic", "SELECT summary_id, rank FROM (SELECT 'u' || doc_id AS summary_id, row_number() OVER (ORDER BY contains(lower(substr(text, 1, 24)), 'the') DESC, 'u' || doc_id) AS rank FROM documents) WHERE rank <= 12")
+def route_semantic(t):
+    v = C.vocabulary_vector("title", ["the"])
+    near = t.units().select("summary_id", C.l2(v, F.array(F.lit(1.0))).alias("d")).orderBy("d", "summary_id").limit(12)
+    return near.select("summary_id", F.row_number().over(Window.orderBy("d", "summary_id")).cast("long").alias("rank"))
+
+
+@query("route_visual", f"SELECT label AS album, min(d) AS distance FROM (SELECT a.label, {_D} AS d FROM embeddings a, embeddings b WHERE b.vec_id = 5 AND a.vec_id <> 5 ORDER BY d, a.vec_id LIMIT 48) GROUP BY label ORDER BY distance, album LIMIT 12")
+def route_visual(t):
+    """Over-fetch four times the limit, keep an album's best distance."""
+    near = _near(t, 5, 48, "vec_id <> 5")
+    return near.groupBy(F.col("label").alias("album")).agg(F.min("distance").alias("distance")).orderBy("distance", "album").limit(12)
+
+
+_ROUTED = f"{_UTOK}, scopes AS (SELECT root_id FROM (SELECT root_id, min(rank) AS r FROM route JOIN units USING (summary_id) GROUP BY root_id) ORDER BY r LIMIT 4)"
+
+
+@query("routed_search", duck(f"WITH {_ROUTED}, {_BM25} SELECT source, doc_id, score FROM bm25 WHERE source IN (SELECT root_id FROM scopes) ORDER BY score DESC, doc_id LIMIT 30", "units", "toks"))
+def routed_search(t):
+    """Summaries choose at most four scopes, which are then constants of the scan's filter."""
+    scopes = routing.select_scopes(_route(t).join(t.units().select("summary_id", "root_id"), "summary_id"), "root_id", "mid")
+    return L.bm25(t.documents.where(F.col("source").isin(scopes)) if scopes else t.documents, TERMS).orderBy(F.desc("score"), "doc_id").limit(30)
+
+
+@query("budget_fanout", duck(f"WITH {_UTOK}, s AS (SELECT root_id, row_number() OVER (ORDER BY min(rank)) AS p FROM route JOIN units USING (summary_id) GROUP BY root_id) SELECT b AS budget, count_if(p <= k) AS scopes FROM s, (VALUES ('low', 1), ('mid', 4), ('high', 8)) v(b, k) GROUP BY b", "units"))
+def budget_fanout(t):
+    ranked = _route(t).join(t.units().select("summary_id", "root_id"), "summary_id")
+    rows = [(b, len(routing.select_scopes(ranked, "root_id", b))) for b in ("low", "mid", "high")]
+    return t.spark.createDataFrame(rows, "budget string, scopes long")
+
+
+@query("routing_suggestions", duck(f"WITH {_UTOK} SELECT summary_id, rank FROM route", "units"))
+def routing_suggestions(t):
+    """A search without hits offers the representatives instead."""
+    hits = t.documents.where(F.array_contains(C.tokens("text"), "nosuchword"))
+    return _route(t).select("summary_id", "rank") if hits.isEmpty() else hits.select(F.col("doc_id").cast("string").alias("summary_id"), F.lit(1).cast("long").alias("rank"))
+
+
+@query("route_trace", duck(f"WITH {_ROUTED} SELECT 'routed' AS status, (SELECT count(*) FROM route) AS candidates, (SELECT string_agg(root_id, ',' ORDER BY root_id) FROM scopes) AS selected", "units"))
+def route_trace(t):
+    ranked = _route(t).join(t.units().select("summary_id", "root_id"), "summary_id")
+    scopes = routing.select_scopes(ranked, "root_id", "mid")
+    return ranked.agg(F.lit("routed" if scopes else "fallback_all_scopes").alias("status"), F.count(F.lit(1)).alias("candidates"), F.lit(",".join(sorted(scopes))).alias("selected"))
+
+
+@query("cross_modal_probe", f"SELECT a.vec_id AS asset_id, a.label, {_D.replace('b.embedding[i]::DOUBLE', 'm[i]')} AS distance FROM embeddings a, (SELECT list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS m FROM (SELECT list(x ORDER BY i) AS v FROM (SELECT i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) WHERE vec_id < 3 GROUP BY i))) ORDER BY distance, a.vec_id LIMIT 8")
+def cross_modal_probe(t):
+    """The query images' mean, at unit length, adds a visual route."""
+    mean = t.embeddings.where("vec_id < 3").agg(F.array(*(F.avg(F.element_at("embedding", i).cast("double")) for i in range(1, 65))).alias("m")).select(C.unit("m").alias("m"))
+    told = t.embeddings.crossJoin(F.broadcast(mean)).select(F.col("vec_id").alias("asset_id"), "label", F.round(C.l2("embedding", "m"), 6).alias("distance"))
+    return told.orderBy("distance", "asset_id").limit(8)
+
+
+@query("kmeans_medoids")
+def kmeans_medoids(t):
+    """Per label k = ceil(sqrt(n / 2)), 16 at most, medoids: real members near the centroids."""
+    return routing.medoids(t.embeddings, "label", "vec_id", "embedding")
+
+
+@query("cluster_summaries")
+def cluster_summaries(t):
+    """Members of each medoid's cluster within its label, with the cluster's importance."""
+    m = routing.medoids(t.embeddings, "label", "vec_id", "embedding")
+    return routing.clusters(t.embeddings, m, "label", "vec_id", "embedding")
+
+
+@query("root_summary")
+def root_summary(t):
+    """The default summariser: each root's ten most telling terms by tf-idf over roots."""
+    return routing.extractive(t.documents, "source", "text", 10)
+
+
+@query("routing_facets", "SELECT source, list_slice(list_sort(list(DISTINCT lang)), 1, 25) AS langs, list_slice(list_sort(list(DISTINCT n_chars // 1000)), 1, 10) AS sizes FROM documents GROUP BY source")
+def routing_facets(t):
+    size = F.floor(F.col("n_chars") / 1000)
+    return t.documents.groupBy("source").agg(F.slice(F.array_sort(F.collect_set("lang")), 1, 25).alias("langs"), F.slice(F.array_sort(F.collect_set(size)), 1, 10).alias("sizes"))
+
+
+@query("routing_payload", "SELECT source, 'Root: ' || source || chr(10) || 'Langs: ' || string_agg(DISTINCT lang, ' | ' ORDER BY lang) || chr(10) || 'Total: ' || count(*) AS payload FROM documents GROUP BY source")
+def routing_payload(t):
+    g = t.documents.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.count(F.lit(1)).alias("n"))
+    facets = F.array_sort(F.map_entries(F.create_map(F.lit("total"), F.array(F.col("n").cast("string")), F.lit("langs"), F.col("langs"))))
+    lines = F.transform(facets, lambda e: F.concat(F.initcap(e["key"]), F.lit(": "), F.array_join(e["value"], " | ")))
+    return g.select("source", F.concat_ws("\n", F.concat(F.lit("Root: "), "source"), F.array_join(lines, "\n")).alias("payload"))
+
+
+@query("importance_parse", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN least(1, (doc_id % 20) / 10.0::DOUBLE) END AS importance FROM documents")
+def importance_parse(t):
+    d = F.col("doc_id")
+    text = F.when(d % 3 == 0, "no rating").otherwise(F.concat(F.lit("Body\nimportance = 0.3\nImportance: "), ((d % 20) / F.lit(10.0)).cast("string")))
+    return t.documents.select("doc_id", text.alias("x")).select("doc_id", C.importance("x").alias("importance"))
+
+
+@query("importance_prior", "SELECT page_id, CASE WHEN contains(lower(url), '1') OR contains(lower(url), 'node_modules') THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS prior FROM pages")
+def importance_prior(t):
+    priors = F.array(F.lit("node_modules"), F.lit("1"))
+    return t.pages.select("page_id", F.when(F.exists(priors, lambda p: F.contains(F.lower("url"), p)), 0.1).otherwise(0.5).alias("prior"))
+
+
+@query("token_budget", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens, 300 * 50 AS budget, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY source ORDER BY doc_id) <= 15000 AS within FROM documents")
+def token_budget(t):
+    n = F.greatest(F.lit(1).cast("long"), F.floor(F.length("text") / 4))
+    rows = t.documents.select("doc_id", "source", n.alias("tokens"))
+    return rows.select("doc_id", "tokens", F.lit(300 * 50).alias("budget"), (F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_id")) <= 15000).alias("within"))
+
+
+_NEAR = r"s AS (SELECT doc_id, ('0x' || substr(sha256(list_aggregate(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) > 9))), 'string_agg', ' ')), 1, 15))::BIGINT AS h FROM documents)"
+
+
+@query("near_dupes", f"WITH {_NEAR} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.h, y.h)) AS distance FROM s x JOIN s y ON x.doc_id < y.doc_id AND bit_count(xor(x.h, y.h)) <= 3")
+def near_dupes(t):
+    """Documents whose fingerprints over their long words are within three bits."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), C.WORD_BREAK), lambda w: F.length(w) > 9)))
+    h = F.conv(F.substring(F.sha2(F.nullif(F.array_join(words, " "), F.lit("")), 256), 1, 15), 16, 10).cast("long")
+    return R.hamming_pairs(t.documents.select("doc_id", h.alias("h")).where("h IS NOT NULL"), "doc_id", "h", 3)
+
+
+@query("index_routing", duck(f"WITH {_SELECT} SELECT root_id, count_if(kept) AS n_kept, count_if(NOT kept) AS n_overflow FROM kept GROUP BY root_id", "units"))
+def index_routing(t):
+    """The unit set that all representative stores share: per root what its budget kept and what overflowed."""
+    s = K.budgeted(t.units())
+    return s.groupBy("root_id").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_overflow"))
+
+
+@query("entity_find", "SELECT c_custkey AS entity_id, d.doc_id, 'corpus_cache.documents.' || d.doc_id AS ref FROM customer JOIN documents d ON d.doc_id = c_custkey AND contains(lower(d.text), 'license') AND c_custkey % 4 <> 0")
+def entity_find(t):
+    """Hits of the search that no link has yet become proposals."""
+    hits = t.documents.where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id")
+    both = t.customer.select(F.col("c_custkey").alias("doc_id")).join(hits, "doc_id")
+    linked = t.customer.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("doc_id"))
+    return both.join(linked, "doc_id", "left_anti").select(F.col("doc_id").alias("entity_id"), "doc_id", C.evidence_ref("corpus_cache", "documents", F.col("doc_id").cast("string")).alias("ref"))
