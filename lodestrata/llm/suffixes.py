@@ -6,7 +6,8 @@ by anchor brings all copies together, and no two shards need comparing but those
 one anchor. Neighbouring strings of one anchor are a run; a run's bytes are its
 context. Contexts that occur twice as a whole are decided by their hash (128 bits);
 anchors that occur once are done. What is left, contexts that share an anchor and
-differ, goes to the anchor's shard: a suffix array by Larsson-Sadakane refinement,
+differ, and at least the half of a string's bytes before or after it, goes to the
+anchor's shard: a suffix array by Larsson-Sadakane refinement,
 common prefixes by Kasai's rule along all contexts at once, and a string is repeated
 if a neighbour shares WINDOW bytes. An anchor's contexts beyond SHARD bytes take
 several shards, merged by binary search of one's strings in the others' arrays; an
@@ -33,7 +34,7 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def anchor_runs(raw: np.ndarray, off: np.ndarray, window: int, gram: int):
-    """Yields (row, first start, last start, anchor hash) of each run; starts are places in raw."""
+    """Yields (row, first start, last start, anchor hash, anchor) of each run; starts and anchors are places in raw."""
     n = len(off) - 1
     row = 0
     while row < n:
@@ -74,7 +75,7 @@ def _runs(part, lo, off, row, window, gram):
         return
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
     last = np.concatenate([new[1:], [len(starts)]]) - 1
-    yield from zip((row + owner[new]).tolist(), (lo + starts[new]).tolist(), (lo + starts[last]).tolist(), hashes[anchor[new]].view(np.int64).tolist())
+    yield from zip((row + owner[new]).tolist(), (lo + starts[new]).tolist(), (lo + starts[last]).tolist(), hashes[anchor[new]].view(np.int64).tolist(), (lo + anchor[new]).tolist())
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -301,19 +302,29 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
         th, col = b.column(0).to_pylist(), b.column(1)
         raw, off = buffer(col)
         data, out = raw.tobytes(), []
-        digest = xxhash.xxh3_128_digest
-        for row, s, e, ah in anchor_runs(raw, off, window, gram):
+        digest, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+        half = (window - gram) // 2
+        for row, s, e, ah, a in anchor_runs(raw, off, window, gram):
             base = int(off[row])
-            out.append((th[row], s - base, e - base, ah, digest(data[s : e + window])))
+            # a string holds the `half` bytes before its anchor, or the window - half bytes from it on
+            before = short(data[a - half : a + gram]) - (1 << 63) if a - s >= half else None
+            after = short(data[a : a + window - half]) - (1 << 63) if a - e < half else None
+            out.append((th[row], s - base, e - base, ah, digest(data[s : e + window]), before, after))
         if out:
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["th", "s", "e", "ah", "ch"])
-
-    runs = stored(map_texts(texts, runs_of, "th binary, s long, e long, ah long, ch binary"), "anchor-runs")
-    kinds = runs.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "s", "e")).alias("one"))
-    kinds = stored(kinds, "contexts")
-    anchors = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["th", "s", "e", "ah", "ch", "before", "after"])
+
+    runs = stored(map_texts(texts, runs_of, "th binary, s long, e long, ah long, ch binary, before long, after long"), "anchor-runs")
+    # the halves follow from the context
+    kinds = runs.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "s", "e", "before", "after")).alias("one"))
+    kinds = stored(kinds.select("ah", "ch", "n", "one.*"), "contexts")
+    halves = F.filter(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("h")), F.struct(F.lit(1).alias("side"), F.col("after").alias("h"))), lambda x: x["h"].isNotNull())
+    sided = kinds.join(kinds.groupBy("ah").count().where("count > 1").select("ah"), "ah", "left_semi").withColumn("half", F.explode(halves)).select("ah", "ch", "n", "th", "s", "e", "half.*")
+    sided = stored(sided, "halves")
+    shared = sided.groupBy("side", "h").count().where("count > 1").select("side", "h")
+    near = stored(sided.join(shared, ["side", "h"], "left_semi").select("ah", "ch", "n", "th", "s", "e").distinct(), "near-contexts")
+    anchors = near.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     whole = runs.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("th", F.col("s").alias("a"), (F.col("e") + window).alias("b"))
-    mixed = kinds.join(anchors, "ah").select("ah", "ch", (F.col("n") == 1).alias("single"), "kinds", "one.*")
+    mixed = near.join(anchors, "ah").select("ah", "ch", (F.col("n") == 1).alias("single"), "kinds", "th", "s", "e")
     wanted = mixed.groupBy("th").agg(F.collect_list(F.struct("ah", "ch", "single", "kinds", "s", "e")).alias("want"))
 
     def cut_out(b):
