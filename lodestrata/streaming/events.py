@@ -11,7 +11,12 @@ from lodestrata.operators.inventory import upsert
 def event_stream(spark: SparkSession, folder: str, per_trigger: int = 16) -> DataFrame:
     """Parquet files of events as they arrive; the schema is read from what is there."""
     schema = spark.read.parquet(folder).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # one file is a folder's only match
+        folder, name = folder.rsplit("/", 1)
+        source = source.option("pathGlobFilter", name)
+    rows = source.parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
