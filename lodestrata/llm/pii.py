@@ -271,6 +271,11 @@ def find(texts: pa.Array, field: Field) -> list[tuple[list, list]]:
         more = []
         if i in added:
             size = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+            step = np.zeros(len(text) + 1, np.int64)
+            for _, x, y in base:
+                step[x] += 1
+                step[y] -= 1
+            taken = np.concatenate([[0], np.cumsum(np.cumsum(step) > 0)])  # code points of base spans before each place
             for kind, s, e in added[i]:
                 s, e = int(size[s - off[i]]), int(size[e - off[i]])
                 while s < e and not ("0" <= text[s] <= "9" or text[s].isalpha() or text[s] in "+("):
@@ -278,7 +283,7 @@ def find(texts: pa.Array, field: Field) -> list[tuple[list, list]]:
                 while e > s and not ("0" <= text[e - 1] <= "9" or text[e - 1].isalpha()):
                     e -= 1
                 low, high = _NEED[kind]
-                if s < e and low <= len(_digits(text[s:e])) <= high and (kind != "email" or "@" in text[s:e]) and not any(s < y and x < e for _, x, y in base):
+                if s < e and low <= len(_digits(text[s:e])) <= high and (kind != "email" or "@" in text[s:e]) and taken[e] == taken[s]:
                     more.append((kind, s, e))
         out.append((sorted(base, key=_order), sorted(more, key=_order)))
     return out
