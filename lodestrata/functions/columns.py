@@ -121,11 +121,15 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where the value is computed once however often use() names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: str | Column) -> Column:
     """The vector over its length; a zero vector stays."""
-    x = F.transform(col(v), lambda c: c.cast("double"))
-    norm = F.sqrt(dot(x, x))
-    return F.transform(x, lambda c: c / F.when(norm == 0, 1.0).otherwise(norm))
+    over = lambda x, n: F.transform(x, lambda c: c / F.when(n == 0, 1.0).otherwise(n))
+    return once(F.transform(col(v), lambda c: c.cast("double")), lambda x: once(F.sqrt(dot(x, x)), lambda n: over(x, n)))
 
 
 def importance(text: str | Column) -> Column:
@@ -136,5 +140,5 @@ def importance(text: str | Column) -> Column:
 
 def vocabulary_vector(text: str | Column, vocabulary: list[str]) -> Column:
     """1 for each term that the lower-cased text contains, over the vector's length."""
-    low = F.lower(col(text))
-    return unit(F.array(*(F.when(F.contains(low, F.lit(v)), 1.0).otherwise(0.0) for v in vocabulary)))
+    terms = F.array(*(F.lit(v) for v in vocabulary))
+    return unit(once(F.lower(col(text)), lambda low: F.transform(terms, lambda v: F.when(F.contains(low, v), 1.0).otherwise(0.0))))
