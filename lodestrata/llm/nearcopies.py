@@ -1,0 +1,132 @@
+"""Near copies by the Jaccard similarity of word shingles.
+
+Texts of one shingle set are one class. The classes that share all of ROWS minimum
+hashes in one of BANDS bands meet under that band's key, and there the similarity of
+their whole shingle sets decides. A pair at 0.8 meets with probability 0.998, a closer
+one with more; whatever is linked has been verified. Within a key, members that are
+already of one component are not compared again, so a group of near copies costs one
+comparison a member; members that share a band but are unlike are all compared.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrata.llm.shared import connected_components, map_texts, merge_roots, stored, utf8
+
+LEAST = 0.8
+BANDS, ROWS = 16, 5
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
+    """XXH64 (seed 42) of the distinct word shingles in order; fewer words are one shingle, no words none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-size] + 1])
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist())], np.uint64))
+
+
+def class_ids(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BANDS) keys; the sets are not empty."""
+    flat = np.concatenate(sets)
+    first = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(sets), b + 1, np.uint64)
+        for f in _FACTORS[b]:
+            key = (key ^ np.minimum.reduceat(flat * f, first)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys[:, b] = key
+    return keys.view(np.int64)
+
+
+def set_links(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+    """For each of a key's sets the least index of its component by links of similarity `least` or more."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    first = np.cumsum(sizes) - sizes
+    parent = np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        other = np.flatnonzero((parent[i + 1 :] != parent[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= least * np.maximum(sizes[i + 1 :], sizes[i]))) + i + 1
+        if not len(other):
+            continue
+        n = sizes[other]
+        start = np.cumsum(n) - n
+        values = flat[np.arange(n.sum()) + np.repeat(first[other] - start, n)]
+        at = np.minimum(np.searchsorted(sets[i], values), sizes[i] - 1)
+        both = np.add.reduceat((sets[i][at] == values).astype(np.int64), start)
+        near = other[both >= least * (n + sizes[i] - both) - 1e-9]
+        parent = merge_roots(parent, np.full(len(near), i), near)
+    return parent
+
+
+def _links(batches):
+    """From rows (key, class, set) sorted by key: links from a class to the least of its component within the key."""
+    key, ids, sets = None, [], []
+
+    def out():
+        if len(ids) > 1:
+            parent = set_links(sets)
+            moved = np.flatnonzero(parent != np.arange(len(ids)))
+            if len(moved):
+                names = np.array(ids, np.int64)
+                yield pa.record_batch([pa.array(names[moved]), pa.array(names[parent[moved]])], names=["a", "b"])
+
+    for batch in batches:
+        for k, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if k != key:
+                yield from out()
+                key, ids, sets = k, [], []
+            ids.append(c)
+            sets.append(np.frombuffer(s.as_py(), np.uint64))
+    yield from out()
+
+
+def near_classes(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(doc_id, class, component) for each row with an id."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+
+    def signed(b):
+        sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
+        full = [i for i, s in enumerate(sets) if len(s)]
+        keys: list = [[]] * len(sets)
+        if full:
+            for i, k in zip(full, band_keys([sets[i] for i in full]).tolist()):
+                keys[i] = k
+        return pa.record_batch([b.column(0), pa.array(class_ids(sets)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "class", "keys"])
+
+    def told(b):
+        sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
+        return pa.record_batch([pa.array(class_ids(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
+
+    signs = stored(map_texts(rows, signed, "doc_id long, class long, keys array<long>"), "near-signs")
+    classes = signs.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    dealt = classes.select(F.explode("keys").alias("key"), "class", "doc_id")
+    members = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y")).where("n > 1")
+    crowded = members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")  # keys of the same members need one look
+    met = stored(dealt.join(crowded, "key", "left_semi"), "near-met")
+    some = rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = map_texts(some, told, "class long, shingles binary").dropDuplicates(["class"])
+    pairs = met.select("key", "class").join(sets, "class").select("key", "class", "shingles")
+    found = connected_components(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long"))
+    return signs.select("doc_id", "class").join(found.withColumnRenamed("id", "class"), "class", "left").select("doc_id", "class", F.coalesce("component", "class").alias("component"))
+
+
+def near_dedup(docs: DataFrame, size: int = 5) -> DataFrame:
+    """The documents without near copies: of each component the one with the least doc_id stays, once; rows without an id stay."""
+    keep = near_classes(docs, size).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

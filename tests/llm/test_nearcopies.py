@@ -1,0 +1,48 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from lodestrata.llm.nearcopies import near_dedup, set_links, shingle_set
+
+
+def jaccard(a, b):
+    x, y = set(shingle_set(a.encode()).tolist()), set(shingle_set(b.encode()).tolist())
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_the_stage_removes_edited_copies_and_keeps_others(spark):
+    rng = random.Random(5)
+    rows, gone = [], set()
+    for g in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((10 * g, " ".join(words)))
+        for k, edits in enumerate((1, 3, 5, 40)):
+            copy = list(words)
+            for at in rng.sample(range(300), edits):
+                copy[at] = "x"
+            rows.append((10 * g + k + 1, " ".join(copy)))
+            if jaccard(rows[-1][1], rows[-1 - k - 1][1]) >= 0.8:
+                gone.add(10 * g + k + 1)
+    assert len(gone) == 180
+    rows += [(None, rows[0][1]), (None, "alone"), (5000, ""), (5001, None), (5002, "A b"), (5003, "a B")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()]
+    assert sorted(x for x in got if x is not None) == sorted({r[0] for r in rows[:300]} - gone | {5000, 5002}) and got.count(None) == 2
+
+
+def test_stage_equals_brute_force(docs):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None]
+    label = {i: i for i, _ in rows}
+    links = [(a, b) for n, (a, x) in enumerate(rows) for b, y in rows[n + 1 :] if jaccard(x, y) >= 0.8]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sorted(r.doc_id for r in near_dedup(docs).collect()) == sorted(set(label.values()))
+
+
+def test_links_within_a_key_are_all_found():
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 10**9, 100)).astype(np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([b[k:], rng.integers(0, 10**9, k).astype(np.uint64)])) for b in base for k in (0, 5, 40)]
+    assert set_links(sets).tolist() == [0, 0, 2, 3, 3, 5, 6, 6, 8, 9, 9, 11]
