@@ -29,30 +29,31 @@ RANKED = 200_000
 
 @lru_cache(2)
 def encoder(path: str):
-    """A tokenizers file of the byte-level BPE kind as a function from text to ids.
+    """A tokenizers file as a function from text to ids, as the library encodes without special tokens of its own.
 
-    The file's vocabulary and merge order drive tiktoken's engine, which gives the
-    same ids several times faster (tests/llm compares them); other kinds go to the
-    tokenizers library itself.
+    The vocabulary and merge order of a byte-level BPE file drive tiktoken's engine, which gives the
+    same ids several times faster (tests/llm compares them): an added token that
+    stands in a text is one id, what lies between is encoded alone. Files of other
+    kinds, or whose added tokens strip or need word borders, go to the library itself.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
     plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
-    if plain:
+    if plain and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
         import tiktoken
 
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in added}
         ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: engine.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text, add_special_tokens=False).ids
 
 

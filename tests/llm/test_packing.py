@@ -13,9 +13,7 @@ PATH = P.path("byte_bpe_50k.json")
 def reference_ids(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
 def check(df, texts):
@@ -45,6 +43,11 @@ def test_packs_the_documents(docs):
     assert check(pack_documents(docs, PATH), {r.doc_id: r.text for r in docs.collect()}) < 0.03
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> it's", "a<|endoftext|><|endoftext|>b", " <|endoftext|>  x\n<|endoftext|", "it's 12 Größe\u3000\u00a0 \U0001f600", "\x00\x1f  \t\n"])
+def test_ids_are_the_librarys(text):
+    assert [*encoder(PATH)(text)] == reference_ids(text)
+
+
 def test_packs_awkward_rows(awkward, no_docs):
     one = awkward.dropDuplicates(["doc_id"])
     check(pack_documents(one, PATH), {r.doc_id: r.text for r in one.collect()})
