@@ -13,14 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker looks at together; larger batches are cut, a longer text comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets one of our own, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrata-")
+        found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not found:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            found = tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -30,7 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() wrote, once what was made of them is stored itself."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,19 +74,33 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = to
 
 
-def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """f over slices of df, whose column `text` it gets as UTF-8 bytes."""
+def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: str, text: str = "text") -> DataFrame:
+    """f over slices of df, whose column `text` it gets as UTF-8 bytes; it gives one batch for a slice, or several one by one."""
     bounded_batches(df.sparkSession)
 
     def run(batches):
         for piece in slices(batches, text):
             out = f(piece)
-            if out is not None and out.num_rows:
-                yield out
+            for got in [out] if out is None or isinstance(out, pa.RecordBatch) else out:
+                if got is not None and got.num_rows:
+                    yield got
 
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, text_col: str) -> list[Column]:
+    """The columns but the text as a struct `row`, and the text's bytes, null where it is null: what a worker gets of whole documents."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return [F.struct(*(rest or [F.lit(None).cast("int").alias("none")])).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text")]
+
+
+def unpacked(docs: DataFrame, text_col: str, text: Column, changed: Column) -> list[Column]:
+    """The columns of docs again, from `row` and a new text; n_chars follows a text that changed."""
+    kind = {f.name: f.dataType for f in docs.schema}
+    size = lambda c: F.when(changed, F.length(text)).otherwise(F.col("row.n_chars")).cast(kind[c])
+    return [text.cast(kind[c]).alias(c) if c == text_col else size(c).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+
+
 def utf8(name: str = "text") -> Column:
     """A text column as bytes; null is empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")

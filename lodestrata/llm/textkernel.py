@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,18 +17,26 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes, or items, that are hashed together.
+BLOCK = 1 << 18
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    seq = np.full(n, base, np.uint64)
+    seq[0] = 1
+    return np.multiply.accumulate(seq)
+
+
+@lru_cache(1)
+def _kept() -> tuple[np.ndarray, np.ndarray]:
+    return _powers_of(_P, BLOCK + 1), _powers_of(_PINV, BLOCK + 1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        m = max(n, 1 << 16)
-        for i, base in enumerate((_P, _PINV)):
-            seq = np.full(m, base, np.uint64)
-            seq[0] = 1
-            _powers[i] = np.multiply.accumulate(seq)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the base and of its inverse modulo 2^64; those beyond a block are not kept."""
+    if n <= BLOCK + 1:
+        return _kept()[0][:n], _kept()[1][:n]
+    return _powers_of(_P, n), _powers_of(_PINV, n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,14 +67,30 @@ def spans(raw: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _polynomial(piece: np.ndarray) -> np.ndarray:
+    """At each place, with the end, the sum of (byte + 1) * base^place before it."""
+    total = np.zeros(len(piece) + 1, np.uint64)
+    np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers(len(piece) + 1)[0][:-1], out=total[1:])
+    return total
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: a polynomial modulo 2^64, mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, inv = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span's bytes: a polynomial modulo 2^64, mixed with the length; block by block."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+        if ends[at] - base > BLOCK:  # one span beyond a block
+            found = 0
+            for lo in range(base, int(ends[at]), BLOCK):
+                found += int(_polynomial(raw[lo : min(int(ends[at]), lo + BLOCK)])[-1]) * pow(_P, lo - base, 1 << 64)
+            out[at] = found % (1 << 64)
+        else:
+            total = _polynomial(raw[base : int(ends[to - 1])])
+            out[at:to] = (total[ends[at:to] - base] - total[starts[at:to] - base]) * powers(BLOCK + 1)[1][starts[at:to] - base]
+        at = to
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestrata.llm.suffixes import Shard, neighbour_prefixes, string_report, suffix_array
+from lodestrata.llm.suffixes import Shard, anchor_runs, neighbour_prefixes, string_report, suffix_array
 
 
 def brute(rows, w):
@@ -61,6 +61,41 @@ def test_report_equals_brute_force(spark, settings):
     assert sorted(map(tuple, string_report(df, 40, gram=8, **settings).collect())) == brute(rows, 40)
 
 
+def test_hot_passages_are_dealt_by_longer_cores(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = text(36)
+    tails = [text(12) for _ in range(4)]
+    rows = [(i, text(70) + tails[i % 4][:3] + passage + tails[i % 3] + text(50)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute(rows, 40)
+    assert sum(r[2] for r in expected)
+    for hot in (1, 6, 1000):
+        assert sorted(map(tuple, string_report(df, 40, gram=8, hot=hot).collect())) == expected
+
+
+def test_stretches_with_a_period_are_told_once(spark):
+    raw = np.frombuffer(b"ab" * 5000 + b"c" * 9000, np.uint8)
+    found = list(anchor_runs(raw, np.array([0, len(raw)]), 400, 32))
+    assert sum(len(f[0]) for f in found) < 1200 and sum(int((f[2] * f[3]).sum()) for f in found) == len(raw) - 399
+    rows = [(1, "a" * 8_000_000), (2, "x" * 300 + "ab" * 3000), (3, "ba" * 200), (4, "a" * 400), (5, "b" * 400), (6, "xyz" * 2000 + "x" * 500)]
+    got = {r.doc_id: r for r in string_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    small = {r[0]: r for r in brute([(1, "a" * 2000), *rows[1:]], 400)}
+    assert got[1].n_removed == 8_000_000 and got[1].n_spans == 1
+    assert all(tuple(got[i]) == small[i] for i in range(2, 7))
+
+
+def test_copies_of_a_text_with_many_neighbours(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common, passage = text(900), text(450)
+    rows = [(i, common) for i in range(10_000)] + [(20_000 + i, text(50) + passage[i:] + text(60)) for i in range(20)] + [(30_000, common[:700] + text(300))]
+    got = {r.doc_id: tuple(r) for r in string_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert len(got) == len(rows) and all(got[i][2] == 900 for i in range(10_000))
+    few = brute([rows[0], rows[1], *rows[10_000:]], 400)
+    assert all(got[r[0]] == r for r in few)
+
+
 def test_report_of_documents(docs, awkward, no_docs):
     for df in (docs, awkward):
         rows = [(r.doc_id, r.text) for r in df.collect()]
