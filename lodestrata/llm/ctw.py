@@ -9,12 +9,14 @@ then mixes the prediction down the path of a byte to be scored. Where the path l
 the tree, what is left of the weight stays with the deepest node.
 
 The counts of all (context, byte) runs of the learning documents are a Spark
-aggregation; subtrees below two bytes of context are weighted in parallel, the rest,
-65,280 nodes at most, on the driver. The tree that scorers get holds at most NODES
-nodes; of deeper ones the more frequent.
+aggregation. Subtrees below three bytes of context are weighted in parallel; the nodes
+above, of which 65,536 contexts of 255 places are the most there can be, on the driver.
+Every (context, byte) run that any document holds then gets its probability once, where
+its subtree is: the whole tree scores, whatever its size. Scorers get the TABLE most
+frequent runs' as a broadcast table; rarer runs are joined by a shuffle.
 
 The base score needs a count for every word. Frequent words, at most FREQUENT of
-them, are broadcast; the others' counts are joined by a shuffle.
+them, are broadcast; the others' counts are joined by the same shuffle.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ from lodestrata.llm.shared import bounded_batches, slices, stored, utf8
 from lodestrata.llm.textkernel import LOWER, NOT_SPACE, buffer, mix, rows_of, span_hashes, spans
 
 DEPTH = 5
-NODES = 2_000_000
-FREQUENT = 400_000
+#: Runs and words that are broadcast at most; they bound no result, but what is joined.
+TABLE, FREQUENT = 3_000_000, 400_000
+#: Bytes of context by which subtrees are dealt.
+CUT = 3
 #: Bytes of text that are scored together.
 SLICE = 1 << 20
 END = 10
 #: The hash of the end token; a word's hash is that of its bytes.
 END_TOKEN = np.uint64(0x5851F42D4C957F2D)
-_SLOTS = 1 << 21
 
 
 def normal_bytes(raw: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,213 +136,255 @@ def mixed(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _count(depth: int):
-    """Counts of grams (kind 0) and of words (kind 1) of a task's texts, flushed as they grow."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+    """Of a task's texts (text, held_out), flushed as they grow: how often each gram (kind 0) occurs in learning documents (n) and in all (m), and each word (kind 1) in the former."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
 
-    def flush(kind, held):
-        key, n = _sum_by(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        return key, n
+    def told(kind, key, n, m):
+        for at in range(0, len(key), 200_000):
+            cut = slice(at, at + 200_000)
+            yield pa.record_batch([pa.array(np.full(len(key[cut]), kind, np.int32)), pa.array(key[cut].view(np.int64)), pa.array(n[cut]), pa.array(m[cut])], schema=schema)
 
     def run(batches):
         held = {0: [], 1: []}
         size = {0: 0, 1: 0}
         for b in slices(batches, "text", SLICE):
             raw, off = buffer(b.column(0))
+            learn = ~b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             text, begin, end = normal_bytes(raw, off, depth)
+            marked, many = np.unique(np.concatenate([(grams(text, depth)[_places(begin[own], end[own], len(text), depth)] << np.uint64(1)) | np.uint64(flag) for flag, own in ((0, ~learn), (1, learn))]), return_counts=True)
+            got = {0: (marked >> np.uint64(1), many * (marked & np.uint64(1)).astype(np.int64), many)}
             lowered = LOWER[raw]
-            starts, ends, _ = spans(lowered, off, NOT_SPACE)
-            for kind, key in ((0, grams(text, depth)[_places(begin, end, len(text), depth)]), (1, np.concatenate([span_hashes(lowered, starts, ends), np.full(b.num_rows, END_TOKEN)]))):
-                key, n = np.unique(key, return_counts=True)
-                held[kind].append((key, n))
-                size[kind] += len(key)
+            starts, ends, first = spans(lowered, off, NOT_SPACE)
+            words, many = np.unique(np.concatenate([span_hashes(lowered, starts, ends)[learn[rows_of(first)]], np.full(learn.sum(), END_TOKEN)]), return_counts=True)
+            got[1] = words, many, many
+            for kind, columns in got.items():
+                held[kind].append(columns)
+                size[kind] += len(columns[0])
                 if size[kind] > 1_500_000:
-                    held[kind] = [flush(kind, held[kind])]
+                    held[kind] = [_sum_by(*(np.concatenate(c) for c in zip(*held[kind])))]
                     size[kind] = len(held[kind][0][0])
                     if size[kind] > 1_000_000:
-                        key, n = held[kind][0]
-                        yield pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], schema=schema)
+                        yield from told(kind, *held[kind][0])
                         held[kind], size[kind] = [], 0
         for kind, parts in held.items():
             if parts:
-                key, n = flush(kind, parts)
-                for at in range(0, len(key), 200_000):
-                    k, m = key[at : at + 200_000], n[at : at + 200_000]
-                    yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(m)], schema=schema)
+                yield from told(kind, *_sum_by(*(np.concatenate(c) for c in zip(*parts))))
 
     return run
 
 
-_NODE = "depth int, key long, zeros double, ones double, weighted double, share double"
+class Level:
+    """The nodes of one depth: sorted keys, the estimate of a one, the own share."""
+
+    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, share: np.ndarray):
+        self.node, self.one, self.share = node, (ones + 0.5) / (zeros + ones + 1), share
 
 
-def _subtrees(depth: int):
-    """All nodes of two bytes of context or more, from a partition that holds whole groups of their two latest bytes."""
+def log2_of(key: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log2 of the probability of each gram's byte after its context, given all levels from the root on."""
+    context, sym = key >> np.uint64(8), key & np.uint64(255)
+    total = np.zeros(len(key))
+    for j in range(8):
+        place = np.uint64(1 << j) | sym >> np.uint64(8 - j)
+        bit = (sym >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
+        p, weight, last = np.zeros(len(key)), np.ones(len(key)), np.full(len(key), 0.5)
+        open_ = np.arange(len(key))
+        for d, x in enumerate(levels):
+            if not len(open_) or not len(x.node):
+                break
+            want = (context[open_] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | place[open_]
+            at = np.minimum(np.searchsorted(x.node, want), len(x.node) - 1)
+            there = x.node[at] == want
+            open_, at = open_[there], at[there]
+            last[open_] = np.where(bit[open_], x.one[at], 1 - x.one[at])
+            p[open_] += weight[open_] * x.share[at] * last[open_]
+            weight[open_] *= 1 - x.share[at]
+        total += np.log2(np.maximum(p + weight * last, 1e-12))
+    return total
+
+
+def _dealt(batches):
+    """The grams of a partition that holds whole groups of their latest bytes, with n and m."""
+    parts = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
+    if parts:
+        key, n, m = (np.concatenate(c) for c in zip(*parts))
+        return key.view(np.uint64), n.astype(float), m
+    return None
+
+
+def _roots(depth: int, cut: int):
+    """What the subtrees give the nodes above them: (key, zeros, ones, weighted)."""
 
     def run(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
+        got = _dealt(batches)
+        if got is None:
             return
-        keys, counts = np.concatenate([p[0] for p in parts]).view(np.uint64), np.concatenate([p[1] for p in parts]).astype(float)
-        for d, node, *values in weigh(keys, counts, depth, min(2, depth)):
-            for at in range(0, len(node), 100_000):
-                cut = slice(at, at + 100_000)
-                yield pa.record_batch([pa.array(np.full(len(node[cut]), d, np.int32)), pa.array(node[cut].view(np.int64)), *(pa.array(v[cut]) for v in values)], names=[x.split()[0] for x in _NODE.split(", ")])
+        key, n, _ = got
+        for d, node, zeros, ones, weighted, _ in weigh(key[n > 0], n[n > 0], depth, cut):
+            if d == cut:
+                out = _sum_by(node & np.uint64((1 << 8 * cut) - 1), zeros, ones, weighted) if cut else (node, zeros, ones, weighted)
+                for at in range(0, len(out[0]), 100_000):
+                    yield pa.record_batch([pa.array(out[0][at : at + 100_000].view(np.int64)), *(pa.array(c[at : at + 100_000]) for c in out[1:])], names=["key", "zeros", "ones", "weighted"])
 
     return run
 
 
-class Tree:
-    """The nodes that scorers get: sorted ids, the estimate of a one, the own share."""
-
-    def __init__(self, depth: int, ids: np.ndarray, one: np.ndarray, share: np.ndarray):
-        order = np.argsort(ids)
-        self.depth, self.ids, self.one, self.share = depth, ids[order], one[order].astype(np.float32), share[order].astype(np.float32)
-        self.cache = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"cache": None}
-
-    def log2_of(self, key: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each gram's byte after its context."""
-        context, sym = key >> np.uint64(8), key & np.uint64(255)
-        total = np.zeros(len(key))
-        for j in range(8):
-            place = np.uint64(1 << j) | sym >> np.uint64(8 - j)
-            bit = (sym >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-            p, weight, last = np.zeros(len(key)), np.ones(len(key)), np.full(len(key), 0.5)
-            open_ = np.arange(len(key))
-            for d in range(self.depth + 1):
-                if not len(open_) or not len(self.ids):
-                    break
-                ctx = context[open_] & np.uint64((1 << 8 * d) - 1)
-                want = np.uint64(d) << np.uint64(56) | ctx << np.uint64(8) | place[open_]
-                at = np.minimum(np.searchsorted(self.ids, want), len(self.ids) - 1)
-                there = self.ids[at] == want
-                open_, at = open_[there], at[there]
-                one = self.one[at].astype(float)
-                last[open_] = np.where(bit[open_], one, 1 - one)
-                p[open_] += weight[open_] * self.share[at] * last[open_]
-                weight[open_] *= 1 - self.share[at].astype(float)
-            total += np.log2(np.maximum(p + weight * last, 1e-12))
-        return total
-
-    def log2_cached(self, key: np.ndarray) -> np.ndarray:
-        """log2_of through a table of the grams met so far."""
-        if self.cache is None:
-            self.cache = np.full(_SLOTS, ~np.uint64(0)), np.zeros(_SLOTS, np.float32)
-        keys, values = self.cache
-        slot = (mix(key) >> np.uint64(64 - 21)).astype(np.int64)
-        out = values[slot].astype(float)
-        miss = np.flatnonzero(keys[slot] != key)
-        if len(miss):
-            new, back = np.unique(key[miss], return_inverse=True)
-            got = self.log2_of(new).astype(np.float32)
-            out[miss] = got[back]
-            where = (mix(new) >> np.uint64(64 - 21)).astype(np.int64)
-            keys[where] = new
-            values[where] = 0
-            # of grams of one slot the last stays in both tables
-            order = {int(s): i for i, s in enumerate(where)} if len(np.unique(where)) < len(where) else None
-            if order is None:
-                values[where] = got
-            else:
-                s, i = np.fromiter(order.keys(), np.int64), np.fromiter(order.values(), np.int64)
-                keys[s], values[s] = new[i], got[i]
-        return out
-
-
-def learn_tree(gram_counts: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
-    """The weighted tree over (key, n), at most about `nodes` nodes of it."""
-    dealt = gram_counts.repartition(F.expr("shiftright(key, 8) & 65535")).select("key", "n")
-    deep = stored(dealt.mapInArrow(_subtrees(depth), _NODE), "ctw-nodes")
-    # nodes of up to two bytes of context stay; of deeper ones those at or over the least count that keeps to the limit
-    weight = F.log2(F.col("zeros") + F.col("ones")) * 4
-    sizes = sorted(((r[0], r[1]) for r in deep.where("depth > 2").groupBy(F.floor(weight).cast("int")).count().collect()), reverse=True)
-    left, least = nodes - deep.where("depth <= 2").count(), 1 << 30
-    for step, n in sizes:
-        left -= n
-        if left < 0:
+def _scored(depth: int, cut: int, sent):
+    """(key, m, v): v is log2 of the probability of every gram of the partition."""
+
+    def run(batches):
+        got = _dealt(batches)
+        if got is None:
+            return
+        key, n, m = got
+        levels = [Level(node, zeros, ones, share) for _, node, zeros, ones, _, share in weigh(key[n > 0], n[n > 0], depth, cut)]
+        levels = sent.value + levels[::-1]
+        for at in range(0, len(key), 100_000):
+            some = slice(at, at + 100_000)
+            yield pa.record_batch([pa.array(key[some].view(np.int64)), pa.array(m[some]), pa.array(log2_of(key[some], levels).astype(np.float32))], names=["key", "m", "v"])
+
+    return run
+
+
+def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, m, v) for each gram of (key, n, m): v is log2 of its byte's probability in the tree weighted over all n; grams with n = 0 are scored and not learnt from."""
+    cut = min(CUT, depth)
+    group = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * cut) - 1))
+    dealt = counts.select("key", "n", "m").repartition(group)
+    # 2^(8 (cut - 1)) contexts of 255 places at most
+    got = dealt.mapInArrow(_roots(depth, cut), "key long, zeros double, ones double, weighted double").groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).toArrow()
+    node = got.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    zeros, ones, below = (got.column(i).to_numpy().astype(float) for i in (1, 2, 3))
+    node, zeros, ones, below = _sum_by(node, zeros, ones, below)
+    top: list[Level] = []
+    for d in range(cut - 1, -1, -1):
+        weighted, share = mixed(log_kt(zeros, ones), below)
+        top.append(Level(node, zeros, ones, share))
+        node, zeros, ones, below = _sum_by(node & np.uint64((1 << 8 * d) - 1), zeros, ones, weighted) if d else (node, zeros, ones, weighted)
+    return dealt.mapInArrow(_scored(depth, cut, counts.sparkSession.sparkContext.broadcast(top[::-1])), "key long, m long, v float")
+
+
+class Table:
+    """An open hash table from 64-bit keys to numbers, for arrays of keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
+        mask = (1 << self.bits) - 1
+        self.keys, self.values, self.used = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, values.dtype), np.zeros(1 << self.bits, bool)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[~self.used[slot[left]]]
+            self.keys[slot[free]] = keys[free]  # of several the last stays
+            self.used[slot[free]] = True
+            won = self.keys[slot[left]] == keys[left]
+            self.values[slot[left[won]]] = values[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which keys are there."""
+        slot = self._slot(keys)
+        out, there = self.values[slot], (self.keys[slot] == keys) & self.used[slot]
+        left = np.flatnonzero(~there & self.used[slot])
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            hit = (self.keys[slot[left]] == keys[left]) & self.used[slot[left]]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            there[left[hit]] = True
+            left = left[~hit & self.used[slot[left]]]
+        return out, there
+
+
+def _least(rows: DataFrame, count: str, most: int) -> int:
+    """The least count at which no more than `most` rows reach it; by a histogram, in steps of a sixteenth beyond small counts."""
+    step = F.when(F.col(count) < 256, F.col(count)).otherwise(F.floor(F.log2(count) * 16 + 128)).cast("long")
+    hist = sorted(((r[0], r[1], r[2]) for r in rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)), F.min(count)).collect()), reverse=True)
+    least = 1 << 62
+    for _, many, low in hist:
+        most -= many
+        if most < 0:
             break
-        least = step
-    kept = deep.where((F.col("depth") <= 2) | (F.floor(weight) >= least))
-    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    got = kept.select(F.shiftleft(F.col("depth").cast("long"), 56).bitwiseOR(F.col("key")).alias("id"), estimate.cast("float"), F.col("share").cast("float")).toArrow()
-    ids, one, shares = [got.column(0).to_numpy().astype(np.int64).view(np.uint64)], [got.column(1).to_numpy()], [got.column(2).to_numpy()]
-    del got
-    if depth >= 2:
-        up = F.expr("key & 65535").alias("up")
-        rows = deep.where("depth = 2").groupBy(up).agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # 65,280 at most
-        node, zeros, ones, below = (np.array(c, float) for c in zip(*rows)) if rows else (np.zeros(0),) * 4
-        node = node.astype(np.uint64)
-        for top in (1, 0):
-            own = log_kt(zeros, ones)
-            weighted, share = mixed(own, below)
-            ids.append(np.uint64(top) << np.uint64(56) | node)
-            one.append((ones + 0.5) / (zeros + ones + 1))
-            shares.append(share)
-            node, zeros, ones, below = _sum_by(node & np.uint64(255), zeros, ones, weighted)
-    return Tree(depth, np.concatenate(ids), np.concatenate(one), np.concatenate(shares))
-
-
-def lm_scores(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held: int = 2, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
+        least = low
+    return least
+
+
+def _table(rows: DataFrame) -> Table:
+    got = rows.toArrow()
+    return Table(got.column(0).to_numpy().astype(np.int64).view(np.uint64), got.column(1).to_numpy())
+
+
+def _hard(row: np.ndarray, keys: np.ndarray, n: int):
+    """Per row the distinct keys and how often each occurs, as two list columns."""
+    order = np.lexsort((keys, row))
+    row, keys = row[order], keys[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])])) if len(row) else np.zeros(0, np.int64)
+    many = np.diff(np.concatenate([new, [len(row)]]))
+    cut = pa.array(np.searchsorted(row[new], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(cut, pa.array(keys[new].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(many.astype(np.int64)))
+
+
+def lm_scores(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held: int = 2, table: int = TABLE, frequent: int = FREQUENT) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     score is the tree's log10 probability of the text's normal form and end, base_score
     that of a unigram model with add-one smoothing over words. A null or empty text is
-    the end alone; repeated rows learn and score as often as they occur; without
-    learning documents every byte costs eight bits; other columns are ignored.
+    the end alone; a null doc_id counts as the empty string for the fold; repeated rows
+    learn and score as often as they occur; without learning documents every byte costs
+    eight bits; an empty table gives no rows; other columns are ignored. `table` and
+    `frequent` bound the broadcasts and change no result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(utf8().alias("text"), F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", folds) == held).alias("held_out"))
-    partial = rows.where("not held_out").select("text").mapInArrow(_count(depth), "kind int, key long, n long")
-    counts = stored(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    tree = learn_tree(counts.where("kind = 0").select("key", "n"), depth, nodes)
+    partial = rows.select("text", "held_out").mapInArrow(_count(depth), "kind int, key long, n long, m long")
+    counts = stored(partial.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-counts")
+    scores = stored(gram_scores(counts.where("kind = 0"), depth), "lm-grams")
     words = counts.where("kind = 1").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    steps = sorted(((r[0], r[1]) for r in words.groupBy(F.least("n", F.lit(5000)).alias("n")).count().collect()), reverse=True)
-    left, least = frequent, 5001
-    for n, many in steps:
-        left -= many
-        if left < 0:
-            break
-        least = n
-    often = words.where(F.col("n") >= least).toArrow()  # `frequent` rows at most
-    key = often.column(0).to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    sent = spark.sparkContext.broadcast((tree, key[order], np.log10(often.column(1).to_numpy()[order] + 1.0)))
-    rare = words.where(F.col("n") < least)
+    often, word_least = _least(scores, "m", table), _least(words, "n", frequent)
+    top = scores.where(F.col("m") >= often).select("key", "v")  # `table` rows at most
+    sent = spark.sparkContext.broadcast((_table(top), _table(words.where(F.col("n") >= word_least).select("key", F.log10(F.col("n") + 1.0)))))
 
     def run(batches):
-        tree, keys, logs = sent.value
+        by_gram, by_word = sent.value
         part, at = TaskContext.get().partitionId(), 0
         for b in slices(batches, "text", SLICE):
             raw, off = buffer(b.column(0))
             n = b.num_rows
             text, begin, end = normal_bytes(raw, off, depth)
-            got = np.concatenate([[0.0], np.cumsum(tree.log2_cached(grams(text, depth)) * _places(begin, end, len(text), depth))])
+            inside = _places(begin, end, len(text), depth)
+            key = grams(text, depth)
+            value, there = by_gram.find(key)
+            got = np.concatenate([[0.0], np.cumsum(np.where(there & inside, value, 0.0))])
             bits = got[end - depth] - got[begin - depth]
+            missed = np.flatnonzero(inside & ~there)
+            gram_lists = _hard(np.searchsorted(begin - depth, missed, "right") - 1, key[missed], n)
             lowered = LOWER[raw]
             starts, ends, first = spans(lowered, off, NOT_SPACE)
             words = np.concatenate([span_hashes(lowered, starts, ends), np.full(n, END_TOKEN)])
             row = np.concatenate([rows_of(first), np.arange(n)])
-            place = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-            known = keys[place] == words if len(keys) else np.zeros(len(words), bool)
-            sums = np.bincount(row[known], logs[place[known]], n).astype(float)
-            hard, tf = np.unique(np.stack([row[~known].astype(np.uint64), words[~known]]), axis=1, return_counts=True) if (~known).any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-            cut = np.searchsorted(hard[0], np.arange(n + 1).astype(np.uint64)).astype(np.int32)
+            value, known = by_word.find(words)
+            sums = np.bincount(row[known], value[known], n).astype(float)
             yield pa.record_batch(
-                [pa.array(np.arange(at, at + n) + (part << 40)), b.column(1), b.column(2), pa.array(np.diff(first) + 1), pa.array(np.bincount(row[known], minlength=n)), pa.array(sums), pa.array(bits), pa.array((end - begin).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(hard[1].view(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(tf.astype(np.int64)))],
-                names=["uid", "doc_id", "held_out", "n_tokens", "n_often", "s_often", "bits", "n_bytes", "keys", "tfs"],
+                [pa.array(np.arange(at, at + n) + (part << 40)), b.column(1), b.column(2), pa.array(np.diff(first) + 1), pa.array(np.bincount(row[known], minlength=n)), pa.array(sums), pa.array(bits), pa.array((end - begin).astype(np.int64)), *gram_lists, *_hard(row[~known], words[~known], n)],
+                names=["uid", "doc_id", "held_out", "n_tokens", "n_often", "s_often", "bits", "n_bytes", "keys0", "tfs0", "keys1", "tfs1"],
             )
             at += n
 
-    found = rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_often long, s_often double, bits double, n_bytes long, keys array<long>, tfs array<long>")
-    found = stored(found, "lm-scores")
-    each = found.where(F.size("keys") > 0).select("uid", F.explode(F.arrays_zip("keys", "tfs")).alias("w")).select("uid", F.col("w.keys").alias("key"), F.col("w.tfs").alias("tf"))
-    more = each.join(rare, "key").groupBy("uid").agg(F.sum("tf").alias("n_rare"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("s_rare"))
+    lists = ", ".join(f"keys{k} array<long>, tfs{k} array<long>" for k in (0, 1))
+    found = stored(rows.mapInArrow(run, f"uid long, doc_id long, held_out boolean, n_tokens long, n_often long, s_often double, bits double, n_bytes long, {lists}"), "lm-scores")
+    each = [found.where(F.size(f"keys{k}") > 0).select("uid", F.lit(k).alias("kind"), F.explode(F.arrays_zip(f"keys{k}", f"tfs{k}")).alias("w")).select("uid", "kind", F.col(f"w.keys{k}").alias("key"), F.col(f"w.tfs{k}").alias("tf")) for k in (0, 1)]
+    rare = scores.where(F.col("m") < often).select(F.lit(0).alias("kind"), "key", F.col("v").cast("double").alias("v"))
+    rare = rare.unionByName(words.where(F.col("n") < word_least).select(F.lit(1).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("v")))
+    more = each[0].unionByName(each[1]).join(rare, ["kind", "key"]).groupBy("uid").agg(
+        F.sum(F.when(F.col("kind") == 1, F.col("tf"))).alias("n_rare"), F.sum(F.when(F.col("kind") == 1, F.col("tf") * F.col("v"))).alias("s_rare"), F.sum(F.when(F.col("kind") == 0, F.col("tf") * F.col("v"))).alias("b_rare")
+    )
     size = float(np.log10(total + distinct + 1))
     known = F.col("n_often") + F.coalesce("n_rare", F.lit(0))
     base = F.col("s_often") + F.coalesce("s_rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(size)
-    score = F.col("bits") * F.lit(float(np.log10(2)))
-    return found.drop("keys", "tfs").join(more, "uid", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), (-F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
+    bits = F.col("bits") + F.coalesce("b_rare", F.lit(0.0))
+    told = found.drop("keys0", "tfs0", "keys1", "tfs1").join(more, "uid", "left")
+    return told.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (bits * F.lit(float(np.log10(2)))).alias("score"), (-bits / F.col("n_bytes")).alias("bits_per_byte"))

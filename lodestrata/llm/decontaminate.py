@@ -2,18 +2,19 @@
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased in A-Z. The
 windows' hashes go to every worker in chunks of a bounded size; a benchmark beyond
-the bound takes one further pass a chunk, chained without a shuffle. A hash that is
-found is verified word for word before it counts.
+the bound takes one further pass a chunk, without a shuffle, and one chunk is held at
+a time. A hash that is found is verified word for word before it counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import map_texts, stored, utf8
+from lodestrata.llm.shared import dropped, map_texts, packed, stored, unpacked, utf8
 from lodestrata.llm.textkernel import ALNUM, LOWER, buffer, mix, powers, rows_of, span_hashes, spans
 
 WINDOW = 8
@@ -66,10 +67,12 @@ class _Set:
     def __init__(self, rows):
         self.by: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
         self.items: dict[tuple[int, bytes], list[str]] = {}
+        of: dict[int, list[int]] = {}
         for r in rows:
             self.items.setdefault((r["size"], bytes(r["words"])), []).append(r["item_id"])
-        for size in {r["size"] for r in rows}:
-            hashes = np.unique(np.array([r["hash"] for r in rows if r["size"] == size], np.int64).view(np.uint64))
+            of.setdefault(r["size"], []).append(r["hash"])
+        for size, found in of.items():
+            hashes = np.unique(np.array(found, np.int64).view(np.uint64))
             width = int(min(24, max(16, np.ceil(np.log2(64 * len(hashes))))))
             table = np.zeros(1 << width, bool)
             table[hashes >> np.uint64(64 - width)] = True
@@ -94,31 +97,38 @@ class _Set:
                     found[row[i]].update(items)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_windows: int = CHUNK_WINDOWS, text_col: str = "text") -> DataFrame:
-    """Per document, and in its order: row (a struct of all its columns), n_words, n_hit, items, cuts.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_windows: int = CHUNK_WINDOWS, text_col: str = "text", cut: bool = True) -> DataFrame:
+    """Per document, and in its order: row (a struct of its other columns), n_words, n_hit, items, changed, text.
 
-    items: the ids of test items with occurring windows; cuts: byte ranges of the
-    runs of hit words in the UTF-8 text, as starts and ends in turn. A null text or
-    one without words has no words and no hits; an item that is null or without words
-    has no windows; repeated rows are scanned like any other, and repeated items count
-    once; an empty benchmark hits nothing.
+    items: the ids of test items with occurring windows; text: the text without the
+    runs of hit words, or null throughout if `cut` is false. A null text or one
+    without words has no words and no hits, and stays; an item that is null or without
+    words has no windows; repeated rows are scanned like any other, and repeated items
+    count once; an empty benchmark hits nothing; a table without rows gives none.
+
+    One chunk of windows is alive at a time: a benchmark of several chunks has each
+    pass but the last stored, and its broadcast released, before the next begins.
     """
     spark = docs.sparkSession
     windows = stored(benchmark_windows(benchmark, window), "benchmark-windows")
     n, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("words") + 24), F.lit(0))).first()
     chunks = max(1, -(-n // chunk_windows), -(-size // CHUNK_BYTES))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), utf8(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    kept = f"row {rows.schema['row'].dataType.simpleString()}, text binary, hits binary, items array<string>"
-    final = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, cuts array<long>"
+    rows = docs.select(*packed(docs, text_col), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
+    kind = rows.schema["row"].dataType.simpleString()
     for c in range(chunks):
-        sent = spark.sparkContext.broadcast(_Set(windows.where(F.pmod("hash", F.lit(chunks)) == c).collect()))
-        rows = map_texts(rows, _pass(sent, c == chunks - 1), final if c == chunks - 1 else kept)
-    return rows
+        sent = spark.sparkContext.broadcast(_Set(windows.where(F.pmod("hash", F.lit(chunks)) == c).toLocalIterator()))
+        if c == chunks - 1:
+            return map_texts(rows, _pass(sent, True, cut), f"row {kind}, n_words long, n_hit long, items array<string>, changed boolean, text binary")
+        before, rows = rows, stored(map_texts(rows, _pass(sent, False, cut), f"row {kind}, text binary, hits binary, items array<string>"), "benchmark-pass")
+        sent.unpersist()
+        if c:
+            dropped(before)
 
 
-def _pass(sent, last: bool):
+def _pass(sent, last: bool, cut: bool):
     def run(b):
-        raw, starts, ends, first, words = word_hashes(*buffer(b.column(1)))
+        given = b.column(1)
+        raw, starts, ends, first, words = word_hashes(*buffer(pc.fill_null(given, b"")))
         hit, found = np.zeros(len(words), bool), [set(x) for x in b.column(3).to_pylist()]
         for i, bits in enumerate(b.column(2).to_pylist()):
             if bits:
@@ -127,25 +137,34 @@ def _pass(sent, last: bool):
         items = pa.array([sorted(x) for x in found], pa.list_(pa.string()))
         if not last:
             bits = [np.packbits(hit[first[i] : first[i + 1]]).tobytes() if found[i] else None for i in range(b.num_rows)]
-            return pa.record_batch([b.column(0), b.column(1), pa.array(bits, pa.binary()), items], names=["row", "text", "hits", "items"])
+            return pa.record_batch([b.column(0), given, pa.array(bits, pa.binary()), items], names=["row", "text", "hits", "items"])
         total = np.concatenate([[0], np.cumsum(hit)])
-        off = np.concatenate([[0], np.cumsum([len(x) for x in b.column(1).to_pylist()])]) if hit.any() else None
-        cuts = []
-        for i in range(b.num_rows):
-            own = hit[first[i] : first[i + 1]] if found[i] else np.zeros(0, bool)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-            where = []
-            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                where += [int(starts[first[i] + s] - off[i]), int(ends[first[i] + e - 1] - off[i])]
-            cuts.append(where)
-        return pa.record_batch([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(total[first[1:]] - total[first[:-1]], pa.int64()), items, pa.array(cuts, pa.list_(pa.int64()))], names=["row", "n_words", "n_hit", "items", "cuts"])
+        n_hit = total[first[1:]] - total[first[:-1]]
+        left = given
+        if not cut:
+            left = pa.nulls(b.num_rows, pa.binary())
+        elif hit.any():
+            texts, at = given.to_pylist(), 0
+            for i, text in enumerate(texts):
+                if n_hit[i]:
+                    own = hit[first[i] : first[i + 1]]
+                    edge = first[i] + np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
+                    froms = [0, *(ends[edge[1::2] - 1] - at).tolist()]
+                    texts[i] = b"".join(text[x:y] for x, y in zip(froms, [*(starts[edge[::2]] - at).tolist(), len(text)]))
+                at += len(text or b"")
+            left = pa.array(texts, pa.binary())
+        return pa.record_batch([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(n_hit > 0), left], names=["row", "n_words", "n_hit", "items", "changed", "text"])
 
     return run
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more)."""
-    found = contamination(docs.select("doc_id", "text"), benchmark)
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more).
+
+    Null texts and ids, repeated rows and empty tables as in contamination(); other
+    columns are ignored, whatever their names.
+    """
+    found = contamination(docs.select("doc_id", "text"), benchmark, cut=False)
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         "n_words",
@@ -157,14 +176,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 1, text_col: str = "text") -> DataFrame:
-    """The documents without test content: those with windows of more than `most_items` items go, the others lose the runs of hit words."""
+    """The documents without test content: those with windows of more than `most_items` items go, the others lose the runs of hit words.
+
+    All columns stay, n_chars follows a changed text; a null text stays null; ids play no part.
+    """
     found = contamination(docs, benchmark, text_col=text_col)
-    whole = F.col(f"row.{text_col}")
-    data = utf8(f"row.{text_col}")
-    # what lies between the cuts: from each end (or 0) to the next start (or the end)
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.filter("cuts", lambda x, i: i % 2 == 1))
-    starts = F.concat(F.filter("cuts", lambda x, i: i % 2 == 0), F.array(F.length(data).cast("long")))
-    left = F.array_join(F.zip_with(ends, starts, lambda a, b: F.decode(F.substring(data, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8")), "")
-    text = F.when(F.size("cuts") > 0, left).otherwise(whole)
-    columns = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return found.where(F.size("items") <= most_items).select(*columns)
+    return found.where(F.size("items") <= most_items).select(*unpacked(docs, text_col, F.col("text").cast("string"), F.col("changed")))

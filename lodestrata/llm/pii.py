@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import map_texts, utf8
+from lodestrata.llm.shared import map_texts, packed, unpacked, utf8
 from lodestrata.llm.textkernel import NOT_SPACE, buffer, spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -109,7 +110,7 @@ def may_label(token: str) -> bool:
 
 def _shape(token: str) -> str:
     s = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: "d" + (str(len(m[0])) if len(m[0]) < 5 else "5" if len(m[0]) < 9 else "9" if len(m[0]) < 13 else "13" if len(m[0]) < 20 else "20"), token.strip(".,;:!?*%&$#\"'")))
-    return s[:24]
+    return s if len(s) <= 24 else "long:" + "".join(sorted(set(s)))
 
 
 def features(before: str, token: str, after: str) -> list[str]:
@@ -203,10 +204,41 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return best
 
 
-#: A run longer than this is cut; such runs are tables of numbers.
+#: A run longer than this is decoded by itself, in parts of this many tokens.
 RUN = 512
 
 
+def viterbi_parts(parts, trans: np.ndarray) -> np.ndarray:
+    """The best labels of one run between two O's, whose emissions come in parts.
+
+    Scores are carried over from part to part. Wherever all labels' best paths have
+    come from one label, what lies before it is settled and its back pointers go.
+    """
+    score = np.where(np.arange(len(trans)) == 0, 0.0, -np.inf)
+    back: list[np.ndarray] = []
+    settled: list[int] = []
+
+    def follow(label: int, upto: int) -> list[int]:
+        path = [label]
+        for t in range(upto, 0, -1):
+            path.append(int(back[t][path[-1]]))
+        return path[::-1]
+
+    for e in parts:
+        for now in e:
+            both = score[:, None] + trans
+            back.append(both.argmax(axis=0))
+            score = both.max(axis=0) + now
+        at = np.arange(len(trans))
+        for t in range(len(back) - 1, 0, -1):
+            at = back[t][at]
+            if (at == at[0]).all():
+                settled += follow(int(at[0]), t - 1)
+                back = back[t:]
+                break
+    return np.array(settled + follow(int((score + trans[:, 0]).argmax()), len(back) - 1))
+
+
 def field_spans(texts: pa.Array, field: Field) -> dict[int, list[tuple[str, int, int]]]:
     """By row, the byte spans that the field labels, before any check."""
     raw, off = buffer(texts)
@@ -219,40 +251,50 @@ def field_spans(texts: pa.Array, field: Field) -> dict[int, list[tuple[str, int,
         return {}
     row = np.searchsorted(first, hot, "right") - 1
     data = raw.tobytes()
-    token = lambda i, r: data[starts[i] : ends[i]][-200:].decode("utf-8", "replace") if first[r] <= i < first[r + 1] else ""
+    token = lambda i, r: data[starts[i] : ends[i]].decode("utf-8", "replace") if first[r] <= i < first[r + 1] else ""
     cut = np.flatnonzero(np.concatenate([[True], (hot[1:] != hot[:-1] + 1) | (row[1:] != row[:-1])]))
-    by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    by_length: dict[int, list[int]] = defaultdict(list)
     for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(hot)]):
-        for a in range(s, e, RUN):
-            by_length[min(e, a + RUN) - a].append((a, min(e, a + RUN)))
+        by_length[e - s].append(s)
     memo: dict[tuple[str, str, str], np.ndarray] = {}
     out: dict[int, list[tuple[str, int, int]]] = defaultdict(list)
+
+    def emissions(s: int, n: int) -> list[np.ndarray]:
+        r = int(row[s])
+        seen = [token(int(hot[s]) - 1 + k, r) for k in range(n + 2)]
+        if len(memo) > 20_000:
+            memo.clear()
+        rows = []
+        for k in range(n):
+            three = tuple(seen[k : k + 3])
+            if three not in memo:
+                memo[three] = field.emissions(*three)
+            rows.append(memo[three])
+        return rows
+
+    def told(s: int, labels: list[int]) -> None:
+        k = 0
+        while k < len(labels):
+            if labels[k]:
+                kind, to = LABELS[labels[k]][2:], k + 1
+                while to < len(labels) and LABELS[labels[to]] == f"I-{kind}":
+                    to += 1
+                out[int(row[s])].append((kind, int(starts[hot[s + k]]), int(ends[hot[s + to - 1]])))
+                k = to
+            else:
+                k += 1
+
     for length, runs in by_length.items():
-        per = max(1, 200_000 // length)
+        if length > RUN:
+            for s in runs:
+                parts = (emissions(s + a, min(RUN, length - a)) for a in range(0, length, RUN))
+                told(s, viterbi_parts(parts, field.trans).tolist())
+            continue
+        per = max(1, 20_000 // length)
         for lo in range(0, len(runs), per):
-            batch = []
-            for s, e in runs[lo : lo + per]:
-                r = int(row[s])
-                seen = [token(int(hot[s]) - 1 + k, r) for k in range(length + 2)]
-                rows = []
-                for k in range(length):
-                    three = tuple(seen[k : k + 3])
-                    if three not in memo:
-                        memo[three] = field.emissions(*three)
-                    rows.append(memo[three])
-                batch.append(rows)
-            best = viterbi(np.array(batch), field.trans)
-            for (s, _), labels in zip(runs[lo : lo + per], best.tolist()):
-                k = 0
-                while k < length:
-                    if labels[k]:
-                        kind, to = LABELS[labels[k]][2:], k + 1
-                        while to < length and LABELS[labels[to]] == f"I-{kind}":
-                            to += 1
-                        out[int(row[s])].append((kind, int(starts[hot[s + k]]), int(ends[hot[s + to - 1]])))
-                        k = to
-                    else:
-                        k += 1
+            best = viterbi(np.array([emissions(s, length) for s in runs[lo : lo + per]]), field.trans)
+            for s, labels in zip(runs[lo : lo + per], best.tolist()):
+                told(s, labels)
     return out
 
 
@@ -301,7 +343,8 @@ def pii_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans (all), n_added.
 
     A null text is empty; a text without finds has the hash of the empty string and no
-    spans; repeated rows are told alike; very long runs of numbers are decoded in parts.
+    spans; repeated rows are told alike; a null doc_id stays null; an empty table gives
+    no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     field = trained()
@@ -317,13 +360,18 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with each found span replaced by its kind in brackets; all columns stay, n_chars follows the text."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), utf8(text_col).alias("text"))
+    """The documents with each found span replaced by its kind in brackets; all columns stay, n_chars follows a changed text.
+
+    A null text stays null and an empty one empty; repeated rows are redacted alike;
+    an empty table gives no rows; ids play no part.
+    """
+    rows = docs.select(*packed(docs, text_col))
     field = trained()
 
     def run(b):
+        texts = pc.fill_null(b.column(1), b"")
         out = []
-        for data, (base, more) in zip(b.column(1).to_pylist(), find(b.column(1), field)):
+        for data, (base, more) in zip(texts.to_pylist(), find(texts, field)):
             every = sorted((s, e, k) for k, s, e in base + more)
             if not every:
                 out.append(None)
@@ -334,8 +382,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     parts += [text[at : max(s, at)], f"[{k.upper()}]" if s >= at else ""]
                     at = e
             out.append("".join([*parts, text[at:]]))
-        return pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["row", "new"])
+        changed = pa.array([x is not None for x in out])
+        new = pc.coalesce(pa.array(out, pa.string()), b.column(1).cast(pa.string()))
+        return pa.record_batch([b.column(0), new, changed], names=["row", "text", "changed"])
 
-    done = map_texts(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, new string")
-    text = F.coalesce("new", f"row.{text_col}")
-    return done.select(*(text.alias(c) if c == text_col else F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    done = map_texts(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, changed boolean")
+    return done.select(*unpacked(docs, text_col, F.col("text"), F.col("changed")))

@@ -1,31 +1,36 @@
 """SimHash near-duplicates by a hierarchical index over fingerprints in Gray order.
 
-Fingerprints within two bits are equal in at least two of four 16-bit blocks, so
-each distinct fingerprint is dealt to six keys of two blocks. Among those of a key,
-a tree over the fingerprints in Gray order holds, in each node, the bits that all
-below it share and no node above it has: the pattern and its mask. A search adds up
-the differences from the root, and leaves a node, with all below it, as soon as they
-exceed the limit. A fingerprint has at most 2,080 others within two bits, so links
-are bounded by the distinct fingerprints; a task emits one link per fingerprint and
-key at most, to the least of its local component.
+The distinct fingerprints are sorted by Gray rank over all partitions, so that each
+partition is a range of the Gray sequence. Of each range the bits that all its
+fingerprints share, as pattern and mask, are the lowest of the upper nodes; a node
+above holds what the nodes below it share and no node above it has. The upper nodes
+are broadcast: RANGES ranges at most. Every fingerprint descends through them, adding
+up its differences from the root on, and leaves a node with all below it as soon as
+they exceed the limit; it visits the ranges that are left, at and behind its own.
+There a tree of the same kind over the range's own fingerprints goes down to single
+ones. A fingerprint has at most 2,080 others within two bits, so links are bounded by
+the distinct fingerprints; links within a range are told as one per fingerprint, to
+the least of its local component.
+
+Near copies by similarity need more bits than two: see simhash_similar.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import connected_components, map_texts, merge_roots, stored, utf8
+from lodestrata.llm.shared import bounded_batches, connected_components, map_texts, merge_roots, stored, utf8
 
 MAX_BITS = 2
 FANOUT = 8
 #: Queries that descend the tree together.
-BLOCK = 1 << 15
+BLOCK = 1 << 13
+#: Fingerprints of a range, where there are no more than RANGES of them; beyond that ranges grow.
+PER_RANGE, RANGES = 1 << 13, 1 << 16
 
 
 def fingerprints(texts: list[bytes], size: int = 3) -> np.ndarray:
@@ -63,95 +68,142 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return r
 
 
+class Tree:
+    """Nodes over patterns and masks that come by group, in Gray order: levels from the roots, one a group, to the given ones."""
+
+    def __init__(self, group: np.ndarray, pattern: np.ndarray, mask: np.ndarray):
+        levels = [(None, group, pattern, mask)]  # first child of each node, its group, common bits
+        while True:
+            _, g, pat, own = levels[-1]
+            new = np.concatenate([[True], g[1:] != g[:-1]])
+            if new.all() and len(levels) > 1:
+                break
+            place = np.arange(len(g)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            at = np.flatnonzero(place % FANOUT == 0)
+            both = np.bitwise_and.reduceat(own, at) & ~(np.bitwise_or.reduceat(pat & own, at) ^ np.bitwise_and.reduceat(pat | ~own, at))
+            levels.append((at, g[at], pat[at] & both, both))
+            if len(at) == len(g):
+                break
+        self.levels = levels[::-1]
+        self.groups = self.levels[0][1]
+
+    def descend(self, group: np.ndarray, codes: np.ndarray, limit: int):
+        """Yields blocks (i, node) of the codes and the given nodes of their group whose patterns they differ from in at most `limit` bits."""
+        for lo in range(0, len(codes), BLOCK):
+            q = np.arange(lo, min(len(codes), lo + BLOCK))
+            start = np.minimum(np.searchsorted(self.groups, group[q]), len(self.groups) - 1)
+            there = self.groups[start] == group[q]
+            q, node = q[there], start[there]
+            diff, above = np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64)
+            for depth, (_, _, pat, mask) in enumerate(self.levels):
+                if depth:
+                    up = self.levels[depth - 1][0]
+                    first = up[node]
+                    many = np.concatenate([up[1:], [len(pat)]])[node] - first
+                    rep = np.repeat(np.arange(len(q)), many)
+                    node = first[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
+                    q, diff, above = q[rep], diff[rep], above[rep]
+                own = mask[node] & ~above
+                diff = diff + np.bitwise_count((codes[q] ^ pat[node]) & own)
+                keep = diff <= limit
+                q, node, diff, above = q[keep], node[keep], diff[keep], (above | own)[keep]
+            if len(q):
+                yield q, node
+
+
 def index_links(group: np.ndarray, codes: np.ndarray, limit: int = MAX_BITS):
     """Yields blocks (i, j), i < j, of rows of one group whose codes differ in at most `limit` bits.
 
     Rows come sorted by group, then by Gray rank.
     """
-    n = len(codes)
-    ones, none = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
-    # levels from the leaves up: rows of the level below at which each node starts, its group, common bits
-    levels = [(None, group, codes, np.full(n, ones))]
-    while True:
-        _, g, pat, mask = levels[-1]
-        new = np.concatenate([[True], g[1:] != g[:-1]])
-        if new.all() and len(levels) > 1:
-            break
-        place = np.arange(len(g)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        at = np.flatnonzero(place % FANOUT == 0)
-        both = np.bitwise_and.reduceat(mask, at) & ~(np.bitwise_or.reduceat(pat & mask, at) ^ np.bitwise_and.reduceat(pat | ~mask, at))
-        levels.append((at, g[at], pat[at] & both, both))
-        if len(at) == len(g):
-            break
-    levels.reverse()
-    roots = levels[0][1]
-    start = np.searchsorted(roots, group)
-    sizes = np.bincount(start, minlength=len(roots))
-    for lo in range(0, n, BLOCK):
-        q = np.arange(lo, min(n, lo + BLOCK))
-        q = q[sizes[start[q]] > 1]
-        node, diff, above = start[q], np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64)
-        for depth, (at, _, pat, mask) in enumerate(levels):
-            if depth:
-                up = levels[depth - 1][0]
-                first = up[node]
-                many = np.concatenate([up[1:], [len(pat)]])[node] - first
-                rep = np.repeat(np.arange(len(q)), many)
-                within = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
-                node = first[rep] + within
-                q, diff, above = q[rep], diff[rep], above[rep]
-            own = mask[node] & ~above
-            diff = diff + np.bitwise_count((codes[q] ^ pat[node]) & own)
-            keep = diff <= limit
-            if depth == len(levels) - 1:
-                keep &= q < node
-            q, node, diff, above = q[keep], node[keep], diff[keep], (above | own)[keep]
-        if len(q):
-            yield q, node
-
-
-def _edges(batches):
-    """Links within each key, from rows sorted by it: from a fingerprint's document to the least of its local component."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def work(pieces):
-        key = np.concatenate([p[0] for p in pieces])
-        fp = np.concatenate([p[1] for p in pieces])
-        doc = np.concatenate([p[2] for p in pieces])
-        group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-        many = np.bincount(group)[group] > 1
-        group, fp, doc = group[many], fp[many], doc[many]
-        if not len(fp):
-            return None
-        order = np.lexsort((gray_rank(fp), group))
-        group, fp, doc = group[order], fp[order], doc[order]
-        parent = np.arange(len(fp))
-        for i, j in index_links(group, fp):
-            parent = merge_roots(parent, i, j)
-        linked = parent != np.arange(len(fp))
-        return pa.record_batch([pa.array(doc[linked]), pa.array(doc[parent[linked]])], schema=schema) if linked.any() else None
-
-    held: list[tuple] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-        held[-1] = (held[-1][0], held[-1][1].view(np.uint64), held[-1][2])
-        if sum(len(p[0]) for p in held) < 1 << 19:
-            continue
-        key, fp, doc = (np.concatenate(x) for x in zip(*held))
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-        if cut:
-            out = work([(key[:cut], fp[:cut], doc[:cut])])
-            held = [(key[cut:], fp[cut:], doc[cut:])]
-            if out is not None:
-                yield out
-        else:
-            held = [(key, fp, doc)]
-    if held:
-        out = work(held)
-        if out is not None:
-            yield out
+    tree = Tree(group, codes, np.full(len(codes), np.uint64(0xFFFFFFFFFFFFFFFF)))
+    for q, node in tree.descend(group, codes, limit):
+        keep = q < node
+        if keep.any():
+            yield q[keep], node[keep]
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _visits(sent, limit: int):
+    """From rows (range, fp, rep): (range, own, fp, rep) for each range that a fingerprint visits, none before its own."""
+
+    def run(batches):
+        ranges, pattern, mask = sent.value
+        tree = Tree(np.zeros(len(ranges), np.int64), pattern, mask)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            home, fp, rep = (b.column(i).to_numpy() for i in range(3))
+            for q, node in tree.descend(np.zeros(len(fp), np.int64), fp.view(np.uint64), limit):
+                to = ranges[node]
+                keep = to >= home[q]
+                q, to = q[keep], to[keep]
+                yield pa.record_batch([pa.array(to), pa.array(to == home[q]), pa.array(fp[q]), pa.array(rep[q])], names=["range", "own", "fp", "rep"])
+
+    return run
+
+
+def _edges(limit: int):
+    """Links within each range, from rows (range, own, fp, rep) sorted by range, its own fingerprints first; visitors go by block by block."""
+
+    def run(batches):
+        at, own, tree = None, [], None
+        guests: list = []
+
+        def links(a, b):
+            return pa.record_batch([pa.array(a), pa.array(b)], schema=_LINKS)
+
+        def build():
+            nonlocal own, tree
+            fp, rep = (np.concatenate(c) for c in zip(*own))
+            order = np.argsort(gray_rank(fp), kind="stable")
+            fp, rep = fp[order], rep[order]
+            group, parent = np.zeros(len(fp), np.int64), np.arange(len(fp))
+            tree = Tree(group, fp, np.full(len(fp), np.uint64(0xFFFFFFFFFFFFFFFF)))
+            for i, j in tree.descend(group, fp, limit):
+                parent = merge_roots(parent, i[i < j], j[i < j])
+            own = rep, parent
+            moved = parent != np.arange(len(parent))
+            if moved.any():
+                yield links(rep[moved], rep[parent[moved]])
+
+        def visit():
+            nonlocal guests
+            fp, rep = (np.concatenate(c) for c in zip(*guests))
+            guests = []
+            for q, node in tree.descend(np.zeros(len(fp), np.int64), fp, limit):
+                pair = np.unique(np.stack([q, own[1][node]]), axis=1)
+                yield links(rep[pair[0]], own[0][pair[1]])
+
+        def close():
+            if own and tree is None:
+                yield from build()
+            if guests and tree is not None:
+                yield from visit()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            span, mine, fp, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cuts = np.concatenate([[0], np.flatnonzero((span[1:] != span[:-1]) | (mine[1:] != mine[:-1])) + 1, [len(span)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if span[lo] != at:
+                    yield from close()
+                    at, own, tree, guests = span[lo], [], None, []
+                part = fp[lo:hi].view(np.uint64), rep[lo:hi]
+                if mine[lo]:
+                    own.append(part)
+                    continue
+                if tree is None and own:
+                    yield from build()
+                guests.append(part)
+                if sum(len(g[0]) for g in guests) > BLOCK:
+                    yield from visit()
+        yield from close()
+
+    return run
 
 
 def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -165,16 +217,36 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return map_texts(rows, run, "doc_id long, fp long")
 
 
-def simhash_components(fps: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fp of (doc_id, fp); component_id is the least doc_id reachable by links of at most two bits.
+def gray_column(fp: str) -> Column:
+    """gray_rank() of a long's 64 bits, in the order of signed longs."""
+    r = F.col(fp)
+    for k in (1, 2, 4, 8, 16, 32):
+        r = r.bitwiseXOR(F.shiftrightunsigned(r, k))
+    return r.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def simhash_components(fps: DataFrame, limit: int = MAX_BITS, per_range: int = PER_RANGE) -> DataFrame:
+    """(fp, component_id) for each distinct fp of (doc_id, fp); component_id is the least doc_id reachable by links of at most `limit` bits.
 
     A null doc_id takes no part: its row is linked with nothing and has no component but its class's.
     """
+    spark = fps.sparkSession
+    bounded_batches(spark)
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.shiftleft(F.lit(c).cast("long"), 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for c, (i, j) in enumerate(combinations(range(4), 2))]
-    dealt = classes.where("rep is not null").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
-    edges = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_edges, "a long, b long")
+    placed = classes.where("rep is not null")
+    ranges = min(RANGES, max(1, -(-placed.count() // per_range)))
+    rank = placed.select("fp", "rep", gray_column("fp").alias("rank")).repartitionByRange(ranges, "rank")
+    placed = stored(rank.select(F.spark_partition_id().cast("long").alias("range"), "fp", "rep"), "gray-ranges")
+    upper = placed.groupBy("range").agg(F.bit_and("fp"), F.bit_or("fp")).toArrow()  # `ranges` rows, or the tool's partitions
+    number, every, some = (upper.column(i).to_numpy().astype(np.int64) for i in range(3))
+    order = np.argsort(number)
+    mask = ~(every ^ some)[order].view(np.uint64)
+    if len(order):
+        sent = spark.sparkContext.broadcast((number[order], every[order].view(np.uint64) & mask, mask))
+        visits = placed.mapInArrow(_visits(sent, limit), "range long, own boolean, fp long, rep long")
+        edges = visits.repartition("range").sortWithinPartitions("range", F.desc("own")).mapInArrow(_edges(limit), "a long, b long")
+    else:
+        edges = placed.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     found = connected_components(edges)
     return classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
@@ -183,15 +255,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     A null or empty text has fingerprint zero and is linked like any other; repeated
-    rows give repeated rows; an empty table gives none; other columns are ignored.
+    rows give repeated rows; a row without an id is of the component of its fingerprint
+    and gives none its id; an empty table gives none; other columns are ignored,
+    whatever their names.
     """
     fps = stored(simhash_fingerprints(docs, id_col, text_col, size), "simhash-fps")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(simhash_components(fps), "fp").select("doc_id", hexed, "component_id")
-
-
-def simhash_dedup(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The documents without near-duplicates: of each group the one with the least doc_id stays, once."""
-    groups = simhash_groups(docs, size=size)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
