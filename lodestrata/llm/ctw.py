@@ -358,7 +358,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held: int = 2
             inside = _places(begin, end, len(text), depth)
             key = grams(text, depth)
             value, there = by_gram.find(key)
-            got = np.concatenate([[0.0], np.cumsum(np.where(there & inside, value, 0.0))])
+            got = np.concatenate([[0.0], np.cumsum(np.where(there & inside, value.astype(float), 0.0))])
             bits = got[end - depth] - got[begin - depth]
             missed = np.flatnonzero(inside & ~there)
             gram_lists = _hard(np.searchsorted(begin - depth, missed, "right") - 1, key[missed], n)

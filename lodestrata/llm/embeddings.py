@@ -24,7 +24,8 @@ from lodestrata.llm.shared import connected_components, merge_roots, stored
 
 THRESHOLD = 0.9
 RECALL = 0.995
-BUCKET = 64
+#: Classes of a bucket on average: large ones take fewer tables, and so fewer copies of a vector, for more products.
+BUCKET = 512
 BLOCK = 1024
 #: Hot buckets that are broadcast at most; more are joined by a shuffle.
 FEW_BUCKETS = 20_000
@@ -41,18 +42,28 @@ def hyperplanes(dim: int, count: int) -> np.ndarray:
     return np.random.default_rng([dim, 12345]).standard_normal((dim, count))
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """A vector's components: as floats where these say the same, else as doubles, behind their width."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    return b"\4" + short.tobytes() if (short == x).all() else b"\x08" + x.astype("<f8").tobytes()
+
+
+def _vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<f{data[0]}", offset=1).astype(float)
+
+
 def _keyed(batches):
-    """(vec_id, h, v): v the doubles' bytes of a vector that can link, else null."""
+    """(vec_id, h, v): v the bytes of a vector that can link, else null."""
     for b in batches:
-        ids, vectors = b.column(0), b.column(1).to_pylist()
-        h, v = [], []
-        for x in vectors:
-            a = np.array([np.nan if c is None else c for c in x], float) if x else np.zeros(0)
-            good = len(a) and np.isfinite(a).all() and a.any()
-            data = (a + 0.0).tobytes() if good else None  # -0.0 is 0.0
-            v.append(data)
-            h.append(xxhash.xxh3_128_digest(data) if good else None)
-        yield pa.record_batch([ids, pa.array(h, pa.binary()), pa.array(v, pa.binary())], names=["vec_id", "h", "v"])
+        lists = b.column(1)
+        x = lists.values.to_numpy(zero_copy_only=False).astype(float) + 0.0  # -0.0 is 0.0
+        off = lists.offsets.to_numpy()
+        bad, set_ = (np.concatenate([[0], np.cumsum(c)])[off] for c in (~np.isfinite(x), x != 0))
+        good = lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(bad) == 0) & (np.diff(set_) > 0)
+        v = [_bytes(x[s:e]) if g else None for g, s, e in zip(good.tolist(), off[:-1].tolist(), off[1:].tolist())]
+        h = [xxhash.xxh3_128_digest(data) if data else None for data in v]
+        yield pa.record_batch([b.column(0), pa.array(h, pa.binary()), pa.array(v, pa.binary())], names=["vec_id", "h", "v"])
 
 
 def _signed(bits: int, tables: int):
@@ -63,30 +74,32 @@ def _signed(bits: int, tables: int):
         for b in batches:
             out = []
             for data in b.column(2).to_pylist():
-                x = np.frombuffer(data)
+                x = _vector(data)
                 if len(x) not in planes:
                     planes[len(x)] = hyperplanes(len(x), bits * tables)
                 out.append(((x / np.abs(x).max() @ planes[len(x)] > 0).reshape(tables, bits) @ weights).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tables * (len(out) + 1), tables), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-            yield pa.record_batch([*b.columns, lists], names=["rep", "n", "v", "sigs"])
+            short = pa.array([s.astype("<u2" if bits <= 16 else "<u4").tobytes() for s in out], pa.binary())
+            yield pa.record_batch([*b.columns, lists, short], names=["rep", "n", "v", "sigs", "signs"])
 
     return run
 
 
-def _linked(threshold: float):
-    """Per unit of rows (t, key, i, j, block, rep, n, v, sigs), sorted by the first four: (rep, w, root)."""
+def _linked(threshold: float, bits: int):
+    """Per unit of rows (t, key, i, j, block, rep, n, v, signs), sorted by the first four: (rep, w, root)."""
     schema = pa.schema([("rep", pa.int64()), ("w", pa.int64()), ("root", pa.int64())])
 
     def unit(rows):
         t, same = rows["t"][0], rows["i"][0] == rows["j"][0]
         out = []
-        sizes = np.array([len(v) for v in rows["v"]])
+        sizes = np.array([(len(v) - 1) // v[0] for v in rows["v"]])
         for size in np.unique(sizes):  # vectors of other dimensions don't compare
             at = np.flatnonzero(sizes == size)
-            x = np.stack([np.frombuffer(rows["v"][k]) for k in at])
+            x = np.stack([_vector(rows["v"][k]) for k in at])
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            block, sigs, n, rep = rows["block"][at], rows["sigs"][at], rows["n"][at], rows["rep"][at]
+            block, n, rep = rows["block"][at], rows["n"][at], rows["rep"][at]
+            sigs = np.stack([np.frombuffer(rows["signs"][k], "<u2" if bits <= 16 else "<u4") for k in at])
             left = np.arange(len(at)) if same else np.flatnonzero(block == rows["i"][0])
             right = left if same else np.flatnonzero(block == rows["j"][0])
             total, parent = np.zeros(len(at), np.int64), np.arange(len(at))
@@ -112,9 +125,8 @@ def _linked(threshold: float):
                 continue
             cols = {k: b.column(b.schema.get_field_index(k)) for k in ("t", "key", "i", "j", "block", "rep", "n")}
             rows = {k: c.to_numpy(zero_copy_only=False) for k, c in cols.items()}
-            rows["v"] = np.array([*b.column(b.schema.get_field_index("v")).to_pylist(), None], object)[:-1]
-            sigs = b.column(b.schema.get_field_index("sigs"))
-            rows["sigs"] = sigs.flatten().to_numpy().reshape(b.num_rows, -1)
+            for k in ("v", "signs"):
+                rows[k] = np.array([*b.column(b.schema.get_field_index(k)).to_pylist(), None], object)[:-1]
             if held is not None:
                 rows = {k: np.concatenate([held[k], rows[k]]) for k in rows}
             keys = np.stack([rows[k] for k in ("t", "key", "i", "j")])
@@ -150,26 +162,26 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     classes = keyed.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     classes = stored(classes, "vector-classes")
     bits, tables = tables_for(classes.count(), threshold)
-    signed = stored(classes.where("rep is not null").select("rep", "n", "v").mapInArrow(_signed(bits, tables), "rep long, n long, v binary, sigs array<int>"), "vector-signs")
+    signed = stored(classes.where("rep is not null").select("rep", "n", "v").mapInArrow(_signed(bits, tables), "rep long, n long, v binary, sigs array<int>, signs binary"), "vector-signs")
     hot = signed.select(F.posexplode("sigs").alias("t", "key")).groupBy("t", "key").count().where(F.col("count") > BLOCK)
     hot = stored(hot.select("t", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-buckets")
-    dealt = signed.select(F.posexplode("sigs").alias("t", "key"), "rep", "n", "v", "sigs")
+    dealt = signed.select(F.posexplode("sigs").alias("t", "key"), "rep", "n", "v", "signs")
     # a bucket over BLOCK classes is one of N * tables / BLOCK at most: broadcast only where that is few
     few = hot.limit(FEW_BUCKETS + 1).count() <= FEW_BUCKETS
     dealt = dealt.join(F.broadcast(hot) if few else hot, ["t", "key"], "left")
     dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "v", "sigs")
+    units = dealt.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "v", "signs")
     order = ["t", "key", "i", "j"]
-    found = units.repartition(*order).sortWithinPartitions(*order).mapInArrow(_linked(threshold), "rep long, w long, root long")
+    found = units.repartition(*order).sortWithinPartitions(*order).mapInArrow(_linked(threshold, bits), "rep long, w long, root long")
     found = stored(found, "vector-links")
     links = found.groupBy("rep").agg(F.sum("w").alias("w"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     told = classes.join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     told = told.select("h", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = keyed.select("vec_id", "h").join(told, "h", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    out = keyed.where("h is not null").select("vec_id", "h").join(told, "h").select("vec_id", "n_links", "component_id")
+    alone = keyed.where("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 #: Every pair by brute force over DuckDB.

@@ -235,8 +235,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
     return *views, calibrated(views, held, truth)
 
 
-def scored(docs: DataFrame, model, threshold: float = THRESHOLD, text: bool = True) -> DataFrame:
-    """row (a struct of the other columns), text (null throughout if `text` is false), content_odds, metadata_odds, score and keep per document.
+def scored(docs: DataFrame, model, threshold: float = THRESHOLD, kept: bool = False) -> DataFrame:
+    """row (a struct of the other columns), text, content_odds, metadata_odds, score and keep per document.
+
+    With `kept` only documents with at least the threshold come back, with their texts;
+    otherwise all, and the text is null.
 
     Without a model every document scores 1. Null and empty texts have measures of 0;
     repeated rows score alike; an empty table gives no rows.
@@ -253,18 +256,18 @@ def scored(docs: DataFrame, model, threshold: float = THRESHOLD, text: bool = Tr
         a, m = content.odds(x), meta.odds(x)
         p = 1 / (1 + np.exp(-np.clip(w[0] * a + w[1] * m + w[2], -35, 35)))
         keep = p >= threshold
-        left = pc.if_else(pa.array(keep), b.column(1), pa.scalar(None, pa.binary())) if text else pa.nulls(b.num_rows, pa.binary())
-        return pa.record_batch([b.column(0), left, pa.array(a), pa.array(m), pa.array(p), pa.array(keep)], names=["row", "text", "content_odds", "metadata_odds", "score", "keep"])
+        out = pa.record_batch([b.column(0), b.column(1) if kept else pa.nulls(b.num_rows, pa.binary()), pa.array(a), pa.array(m), pa.array(p), pa.array(keep)], names=["row", "text", "content_odds", "metadata_odds", "score", "keep"])
+        return out.filter(pa.array(keep)) if kept else out
 
     return map_texts(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text binary, content_odds double, metadata_odds double, score double, keep boolean")
 
 
 def quality_scores(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out (a fold whose labels aren't learnt from), content_odds, metadata_odds, score, keep."""
-    found = scored(docs.select("doc_id", "text", *(c for c in ("lang", "source") if c in docs.columns)), model, threshold, text=False)
+    found = scored(docs.select("doc_id", "text", *(c for c in ("lang", "source") if c in docs.columns)), model, threshold)
     return found.select(F.col("row.doc_id").alias("doc_id"), (fold("row.doc_id", 3) == 1).alias("held_out"), "content_odds", "metadata_odds", "score", "keep")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least the threshold, with all their columns."""
-    return scored(docs, fit_quality(docs, labels), threshold).where("keep").select(*unpacked(docs, "text", F.col("text").cast("string"), F.lit(False)))
+    return scored(docs, fit_quality(docs, labels), threshold, kept=True).select(*unpacked(docs, "text", F.col("text").cast("string"), F.lit(False)))

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodestrata.llm.ctw import lgamma, lm_scores
+from lodestrata.llm.ctw import Table, lgamma, lm_scores
 
 
 def normal(text):
@@ -75,11 +75,11 @@ def close(got, want):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-4)
 
 
-@pytest.mark.parametrize("frequent", [1_000_000, 3])
-def test_scores_equal_brute_force(spark, awkward, no_docs, frequent):
+@pytest.mark.parametrize("frequent,table", [(1_000_000, 1_000_000), (3, 50)])
+def test_scores_equal_brute_force(spark, awkward, no_docs, frequent, table):
     rows = [(r.doc_id, r.text) for r in awkward.where("length(text) < 5000 or text is null").collect()] + [(i, f"alpha beta{i % 3} gamma x{i}") for i in range(20, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in lm_scores(df, depth=3, frequent=frequent).drop("bits_per_byte").collect())
+    got = sorted(tuple(r) for r in lm_scores(df, depth=3, frequent=frequent, table=table).drop("bits_per_byte").collect())
     close(got, brute(rows, 3))
     assert lm_scores(no_docs).count() == 0
 
@@ -90,11 +90,22 @@ def test_without_learning_documents_a_byte_costs_eight_bits(spark):
     assert r.train_tokens == 0 and r.bits_per_byte == pytest.approx(8) and r.score == pytest.approx(-5 * 8 * math.log10(2))
 
 
-def test_a_small_tree_still_scores_every_text(docs):
-    full, small = lm_scores(docs).toPandas(), lm_scores(docs, nodes=5_000).toPandas()
-    assert len(full) == len(small) == docs.count()
-    held = full[full.held_out]
-    assert held.bits_per_byte.mean() < 3.5 and small.score.sum() < full.score.sum()
+def test_the_size_of_the_broadcast_table_changes_no_score(docs):
+    full, small = (lm_scores(docs, **k).toPandas().sort_values("doc_id") for k in ({}, {"table": 2_000, "frequent": 10}))
+    assert len(full) == docs.count() and full[full.held_out].bits_per_byte.mean() < 3.5
+    for c in ("n_known", "n_tokens"):
+        assert (full[c].to_numpy() == small[c].to_numpy()).all()
+    assert np.allclose(full.score, small.score, rtol=1e-6) and np.allclose(full.base_score, small.base_score, rtol=1e-6)
+
+
+def test_table():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    values = np.arange(len(keys), dtype=np.float32)
+    got, there = Table(keys[::2], values[::2]).find(keys)
+    assert (there == (np.arange(len(keys)) % 2 == 0)).all() and (got[there] == values[::2]).all()
+    assert not Table(keys[:0], values[:0]).find(keys)[1].any()
+    assert Table(np.zeros(1, np.uint64), np.ones(1)).find(np.arange(3, dtype=np.uint64))[1].tolist() == [True, False, False]
 
 
 def test_lgamma():

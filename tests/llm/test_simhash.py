@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from lodestrata.llm.shared import connected_components
-from lodestrata.llm.simhash import gray_rank, index_links, simhash_dedup, simhash_groups
+from lodestrata.llm.simhash import gray_rank, index_links, simhash_components, simhash_groups
 
 
 def brute_fp(text):
@@ -65,8 +65,25 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     assert found == want
 
 
-def test_dedup_keeps_the_least_of_each_group(awkward):
-    kept = simhash_dedup(awkward)
-    assert kept.columns == awkward.columns
-    got = sorted(r.doc_id for r in kept.collect())
-    assert 7 in got and 8 not in got and got.count(6) <= 1 and 1 in got and 2 not in got
+def test_rows_without_an_id(spark):
+    rows = [(None, "a b c d"), (3, "a b c d"), (None, "alone it is"), (4, "other words here now")]
+    got = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("3", "3"), ("4", "4"), ("None", "3"), ("None", "None")]
+
+
+def test_many_ranges_find_every_link(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(1 << 63), 1 << 63, 150)
+    codes = sorted({int(b) ^ int(x) for b in base for x in [0, *(1 << rng.integers(0, 63, 3)), *((1 << rng.integers(0, 63, 3)) | (1 << rng.integers(0, 63, 3)))]})
+    label = {i: i for i in range(len(codes))}
+    arr = np.array(codes, np.int64).view(np.uint64)
+    for _ in range(20):
+        for i in range(len(arr)):
+            near = np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 2)
+            low = min(label[j] for j in near)
+            for j in near:
+                label[int(j)] = low
+    fps = spark.createDataFrame(list(enumerate(codes)), "doc_id long, fp long")
+    for per_range in (10, 100, 10_000):
+        got = {r.fp: r.component_id for r in simhash_components(fps, per_range=per_range).collect()}
+        assert got == {c: label[i] for i, c in enumerate(codes)}
