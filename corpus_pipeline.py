@@ -13,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.decontaminate import decontaminate
-from lodestrata.llm.nearcopies import near_dedup
 from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.pii import redact
 from lodestrata.llm.quality import quality_filter
 from lodestrata.llm.queries import vocabulary
 from lodestrata.llm.shared import stored
+from lodestrata.llm.simhash_similar import simhash_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles have a Jaccard similarity of 0.8 or more the one with the least doc_id stays."""
-    return near_dedup(docs)
+    return simhash_dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
