@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 from functools import reduce
 
 from pyspark.sql import Column
@@ -73,10 +74,58 @@ def human_bytes(n: str | Column) -> Column:
     return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).otherwise(shown)
 
 
+#: Types that the standard library does not reliably know.
+MEDIA_OVERRIDES = {
+    ".obj": "model/obj",
+    ".stl": "model/stl",
+    ".gltf": "model/gltf+json",
+    ".glb": "model/gltf-binary",
+    ".ply": "model/ply",
+    ".heic": "image/heic",
+    ".heif": "image/heif",
+    ".webp": "image/webp",
+}
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(table.items()) for x in pair)), key)
+
+
 def media_type(path: str | Column) -> Column:
-    known = {".txt": "text/plain", ".md": "text/markdown", ".html": "text/html", ".pdf": "application/pdf", ".obj": "model/obj", ".stl": "model/stl", ".png": "image/png", ".jpg": "image/jpeg", ".mp4": "video/mp4", ".mp3": "audio/mpeg", ".json": "application/json"}
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, extension(path)), F.lit("application/octet-stream"))
+    """The type that the standard library's own table gives a path, with the overrides; of a compressed file that of what is inside."""
+    types = mimetypes.MimeTypes()  # its built-in tables, whatever the machine has
+    known = {k.lower(): v for k, v in (*types.types_map[False].items(), *types.types_map[True].items())}
+    known |= {short: types.guess_type("x" + short)[0] for short in types.suffix_map}
+    known = {k: v for k, v in (known | MEDIA_OVERRIDES).items() if v}
+    lower = F.lower(col(path))
+    packed = extension(lower).isin(*(e.lower() for e in types.encodings_map))
+    inside = extension(F.when(packed, F.regexp_replace(lower, r"\.[^./]+$", "")).otherwise(lower))
+    return F.coalesce(_lookup(known, inside), F.lit("application/octet-stream"))
+
+
+#: Each kind of conversion failure with its category and the profile to retry with.
+FAILURE_CLASSES = {
+    "pdf_password_required": ("input", None),
+    "resource_exhausted_memory": ("resource", "docling_fast_text"),
+    "document_timeout": ("resource", "docling_fast_text"),
+    "document_too_many_pages": ("safeguard", None),
+    "document_too_large": ("safeguard", None),
+    "docling_skipped": ("input", None),
+    "docling_input_invalid": ("input", None),
+    "docling_convert_failed": ("conversion", "docling_fast_text"),
+}
+
+
+def error_kind(message: str | Column) -> Column:
+    """The kind of a converter's failure, from its type and message; the first rule that holds counts."""
+    low = F.lower(F.coalesce(col(message), F.lit("")))
+    has = lambda *words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    kind = F.when(has("password") & has("incorrect", "encrypted"), "pdf_password_required")
+    kind = kind.when(has("std::bad_alloc", "bad_alloc", "memoryerror", "out of memory", "cannot allocate"), "resource_exhausted_memory")
+    kind = kind.when(has("timeout", "document processing time"), "document_timeout")
+    kind = kind.when(has("max_num_pages") | (has("page") & has("limit")), "document_too_many_pages")
+    kind = kind.when(has("max_file_size") | (has("file") & has("size") & has("limit")), "document_too_large")
+    return kind.when(has("skipped"), "docling_skipped").when(has("not valid", "cannot be opened"), "docling_input_invalid").otherwise("docling_convert_failed")
 
 
 def glob_regex(pattern: str) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +51,18 @@ def island_top(hits: DataFrame, scope: str, key: str, limit: int) -> DataFrame:
 
 
 def phrase(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents in which the words follow each other, and how often."""
-    t = docs.select(key, tokens(text).alias("_t"))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t") - len(words) + 1, F.lit(1))), lambda i: F.slice("_t", i, len(words)) == F.array(*map(F.lit, words)))
-    return t.where(F.array_contains("_t", words[0])).select(key, F.size(starts).cast("long").alias("n")).where("n > 0")
+    """Documents in which the words follow each other, and how often, without an index.
+
+    Only texts that hold all words are taken apart. Their tokens are joined with two
+    spaces, so that neighbouring phrases share none and their number is the number of
+    replacements; words that can overlap with themselves are tried at each place.
+    """
+    low = F.lower(F.col(text))
+    t = docs.where(reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in words))).select(key, tokens(text).alias("_t"))
+    if any(words[:k] == words[-k:] for k in range(1, len(words))):
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t") - len(words) + 1, F.lit(1))), lambda i: F.slice("_t", i, len(words)) == F.array(*map(F.lit, words)))
+        return t.where(F.array_contains("_t", words[0])).select(key, F.size(starts).cast("long").alias("n")).where("n > 0")
+    needle = f" {'  '.join(words)} "
+    joined = t.select(key, F.concat(F.lit(" "), F.array_join("_t", "  "), F.lit(" ")).alias("_x"))
+    found = F.length("_x") - F.length(F.replace(F.col("_x"), F.lit(needle), F.lit("")))
+    return joined.select(key, (found / len(needle)).cast("long").alias("n")).where("n > 0")

@@ -2,32 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Passages' bytes that a broadcast may hold.
+#: Bytes of passages in one broadcast.
 MAX_BYTES = 32 << 20
 GRAM = 16
 
 
-def containing(docs: DataFrame, passages: DataFrame, part: Column, key: str = "item_id") -> DataFrame:
-    """(doc columns, key) of documents whose text contains the passage's `part`, of GRAM characters or more.
+@lru_cache(2)
+def _automaton(parts: tuple[str, ...]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for p in parts:
+        found.add_word(p, p)
+    found.make_automaton()
+    return found
+
+
+def _scanned(docs: DataFrame, parts: tuple[str, ...], key: str) -> DataFrame:
+    """(key, part) of the broadcast parts that a document's text contains: one walk over the text."""
+    sent = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches):
+        find = _automaton(sent.value)
+        for b in batches:
+            ids, hits = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                got = {p for _, p in find.iter(text)} if text else ()
+                ids += [i] * len(got)
+                hits += sorted(got)
+            yield pa.record_batch([b.column(0).take(pa.array(ids, pa.int64())), pa.array(hits, pa.string())], names=[key, "part"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col("text").cast("string")).mapInArrow(run, f"`{key}` {kind}, part string")
+
+
+def containing(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, part), each once, of the documents that contain a part of (part); empty parts are in none.
 
-    Candidates come from the passage's first GRAM characters: a document's positions
-    with one of these are found by one hash lookup each, then the whole part is
-    verified. The passages are a stated set whose size is checked before a broadcast;
-    beyond it the lookup is a shuffled join.
+    Parts within MAX_BYTES, whose size is checked, are an Aho-Corasick automaton that
+    every task walks with its texts. Beyond that those of GRAM characters or more meet
+    the documents by their first GRAM characters in a shuffled join and are then
+    verified, and the shorter ones take as many automata as they need.
     """
-    p = passages.select(F.col(key), part.alias("_part")).where(F.length("_part") >= GRAM).withColumn("_head", F.substring("_part", 1, GRAM))
-    small = (p.agg(F.sum(F.octet_length("_part"))).first()[0] or 0) <= MAX_BYTES
-    heads = p.select("_head").distinct()
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - GRAM + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(GRAM)))
-    if small:
-        # the heads are looked up in the document's text itself, so no document is taken apart
-        listed = heads.agg(F.collect_list("_head").alias("_heads"))
-        hit = docs.crossJoin(F.broadcast(listed)).withColumn("_head", F.explode(F.filter("_heads", lambda h: F.contains(F.col("text"), h)))).drop("_heads")
-        both = hit.join(F.broadcast(p), "_head")
-    else:
-        hit = docs.withColumn("_head", F.explode(F.array_distinct(grams))).join(heads, "_head", "left_semi")
-        both = hit.join(p, "_head")
-    return both.where(F.contains(F.col("text"), F.col("_part"))).drop("_head", "_part")
+    parts = passages.where("part <> ''").select("part").distinct()
+    small = (parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0) <= MAX_BYTES
+    short = parts if small else parts.where(F.length("part") < GRAM)
+    out = None
+    if not small:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - GRAM + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(GRAM)))
+        heads = parts.where(F.length("part") >= GRAM).withColumn("_head", F.substring("part", 1, GRAM))
+        met = docs.select(key, "text").withColumn("_head", F.explode(F.array_distinct(grams))).join(heads, "_head")
+        out = met.where(F.contains("text", F.col("part"))).select(key, "part")
+    chunks = max(1, -(-(short.agg(F.sum(F.octet_length("part"))).first()[0] or 0) // MAX_BYTES))
+    for c in range(chunks):
+        mine = short.where(F.pmod(F.xxhash64("part"), F.lit(chunks)) == c)
+        got = _scanned(docs, tuple(sorted(r[0] for r in mine.collect())), key)  # MAX_BYTES, about
+        out = got if out is None else out.unionByName(got)
+    return out

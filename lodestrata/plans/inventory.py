@@ -45,9 +45,9 @@ def content_sha256(t):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
-_NAMES = ["a/photo.PNG", "clip.mp4", "part.obj", "notes.txt", "x.unknown", "noext", "b.tar.gz", "m.stl", "s.mp3", "p.pdf"]
+_NAMES = ["a/photo.PNG", "clip.mp4", "part.obj", "notes.txt", "x.unknown", "noext", "b.tar.gz", "m.stl", "s.mp3", "p.pdf", "q/w.WEBP"]
 _EXT = "CASE WHEN regexp_extract(lower(name), '[^/](\\.[^./]+)$', 1) = '' THEN '[none]' ELSE regexp_extract(lower(name), '[^/](\\.[^./]+)$', 1) END"
-_MEDIA = f"CASE {_EXT} WHEN '.txt' THEN 'text/plain' WHEN '.png' THEN 'image/png' WHEN '.mp4' THEN 'video/mp4' WHEN '.obj' THEN 'model/obj' WHEN '.stl' THEN 'model/stl' WHEN '.mp3' THEN 'audio/mpeg' WHEN '.pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END"
+_MEDIA = f"CASE {_EXT} WHEN '.txt' THEN 'text/plain' WHEN '.png' THEN 'image/png' WHEN '.mp4' THEN 'video/mp4' WHEN '.obj' THEN 'model/obj' WHEN '.stl' THEN 'model/stl' WHEN '.mp3' THEN 'audio/mpeg' WHEN '.pdf' THEN 'application/pdf' WHEN '.gz' THEN 'application/x-tar' WHEN '.webp' THEN 'image/webp' ELSE 'application/octet-stream' END"
 _FILES = f"files AS (SELECT doc_id, ([{', '.join(repr(n) for n in _NAMES)}])[(doc_id % {len(_NAMES)}) + 1] AS name FROM documents), media AS (SELECT *, {_EXT} AS extension, {_MEDIA} AS media_type FROM files)"
 
 
@@ -62,9 +62,9 @@ def media_type_infer(t):
     return _media(t)
 
 
-@query("select_documents", f"WITH {_FILES} SELECT doc_id, name FROM media WHERE NOT regexp_matches(media_type, '^(image|video|audio|model)/') ORDER BY name, doc_id LIMIT 200")
+@query("select_documents", f"WITH {_FILES} SELECT doc_id, name FROM media WHERE NOT regexp_matches(media_type, '^(image|video|audio|model)/')")
 def select_documents(t):
-    return _media(t).where(~F.col("media_type").rlike("^(image|video|audio|model)/")).orderBy("name", "doc_id").limit(200).select("doc_id", "name")
+    return _media(t).where(~F.col("media_type").rlike("^(image|video|audio|model)/")).select("doc_id", "name")
 
 
 @query("select_media", f"WITH {_FILES} SELECT doc_id, name, split_part(media_type, '/', 1) AS media_class FROM media WHERE regexp_matches(media_type, '^(image|video|model)/')")
@@ -251,36 +251,38 @@ def content_type_map(t):
     return t.documents.select("doc_id", C.content_type(kind).alias("content_type"))
 
 
-_ERRORS = ["ValueError Incorrect password", "std::bad_alloc", "TimeoutError timed out", "OSError No such file", "weird", "PermissionError denied"]
-_RULES = [("password", "pdf_password_required", "access"), ("bad_alloc", "resource_exhausted_memory", "resource"), ("memory", "resource_exhausted_memory", "resource"), ("timed out", "timeout", "resource"), ("no such file", "source_missing", "source"), ("denied", "access_denied", "access")]
-
-
-def _error_kind(message):
-    low = F.lower(message)
-    kind = F
-    for needle, name, _ in _RULES:
-        kind = kind.when(F.contains(low, F.lit(needle)), name)
-    return kind.otherwise("conversion_failed")
+#: Messages of converters, one or more of each kind.
+_ERRORS = [
+    "ValueError Incorrect password", "PdfError file is encrypted, password needed", "the password field is empty", "std::bad_alloc", "MemoryError ", "RuntimeError Cannot allocate 3 GB", "ConversionTimeout gave up",
+    "document processing time exceeded", "max_num_pages is 100", "over the page limit", "max_file_size is 20 MB", "file is over the size limit", "page limit and file size limit", "format skipped", "input is not valid", "the file cannot be opened", "weird", "",
+]
+_MESSAGES = f"e AS (SELECT doc_id, ([{', '.join(repr(e) for e in _ERRORS)}])[doc_id % {len(_ERRORS)} + 1] AS message FROM documents), k AS (SELECT *, lower(message) AS m FROM e)"
+_ERR_SQL = f"""{_MESSAGES}, errors AS (SELECT doc_id, message, CASE
+WHEN contains(m, 'password') AND (contains(m, 'incorrect') OR contains(m, 'encrypted')) THEN 'pdf_password_required'
+WHEN regexp_matches(m, 'bad_alloc|memoryerror|out of memory|cannot allocate') THEN 'resource_exhausted_memory'
+WHEN regexp_matches(m, 'timeout|document processing time') THEN 'document_timeout'
+WHEN contains(m, 'max_num_pages') OR (contains(m, 'page') AND contains(m, 'limit')) THEN 'document_too_many_pages'
+WHEN contains(m, 'max_file_size') OR (contains(m, 'file') AND contains(m, 'size') AND contains(m, 'limit')) THEN 'document_too_large'
+WHEN contains(m, 'skipped') THEN 'docling_skipped'
+WHEN regexp_matches(m, 'not valid|cannot be opened') THEN 'docling_input_invalid'
+ELSE 'docling_convert_failed' END AS error_kind FROM k)"""
 
 
 def _errors(t):
     message = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("doc_id") % len(_ERRORS) + 1).cast("int"))
-    return t.documents.select("doc_id", message.alias("message"))
-
-
-_ERR_SQL = f"SELECT doc_id, message, CASE {' '.join(f"WHEN contains(lower(message), '{n}') THEN '{k}'" for n, k, _ in _RULES)} ELSE 'conversion_failed' END AS error_kind FROM (SELECT doc_id, ([{', '.join(repr(e) for e in _ERRORS)}])[doc_id % {len(_ERRORS)} + 1] AS message FROM documents)"
+    return t.documents.select("doc_id", message.alias("message")).withColumn("error_kind", C.error_kind("message"))
 
 
-@query("error_classify", _ERR_SQL)
+@query("error_classify", f"WITH {_ERR_SQL} SELECT * FROM errors")
 def error_classify(t):
-    return _errors(t).select("doc_id", "message", _error_kind(F.col("message")).alias("error_kind"))
+    return _errors(t)
 
 
-@query("failure_rows", f"SELECT doc_id, error_kind, CASE WHEN error_kind IN ('pdf_password_required', 'access_denied') THEN 'access' WHEN error_kind IN ('resource_exhausted_memory', 'timeout') THEN 'resource' WHEN error_kind = 'source_missing' THEN 'source' END AS category FROM ({_ERR_SQL})")
+@query("failure_rows", f"WITH {_ERR_SQL} SELECT doc_id, error_kind, CASE WHEN error_kind IN ('pdf_password_required', 'docling_skipped', 'docling_input_invalid') THEN 'input' WHEN error_kind IN ('resource_exhausted_memory', 'document_timeout') THEN 'resource' WHEN error_kind = 'docling_convert_failed' THEN 'conversion' ELSE 'safeguard' END AS category, CASE WHEN error_kind IN ('resource_exhausted_memory', 'document_timeout', 'docling_convert_failed') THEN 'docling_fast_text' END AS retry_profile FROM errors")
 def failure_rows(t):
-    """Failures with their class, joined from a table of a few rows."""
-    known = t.spark.createDataFrame(sorted({(k, c) for _, k, c in _RULES}), "error_kind string, category string")
-    return _errors(t).select("doc_id", _error_kind(F.col("message")).alias("error_kind")).join(F.broadcast(known), "error_kind", "left").select("doc_id", "error_kind", "category")
+    """Failures with their class and the profile to retry with, joined from a table of eight rows."""
+    known = t.spark.createDataFrame([(k, *c) for k, c in C.FAILURE_CLASSES.items()], "error_kind string, category string, retry_profile string")
+    return _errors(t).join(F.broadcast(known), "error_kind").select("doc_id", "error_kind", "category", "retry_profile")
 
 
 @query("sanitize", r"SELECT page_id, substr(replace(trim(regexp_replace('Failed  at ' || url || ' :' || chr(10) || substr(html, 1, 400), '\s+', ' ', 'g'), ' '), url, 'page'), 1, 240) AS message FROM pages")

@@ -58,14 +58,15 @@ def entity_propose(t):
     return hits.select(F.col("o_custkey").alias("entity_id"), F.concat(F.lit("orders."), "o_orderkey").alias("ref")).dropDuplicates(["entity_id", "ref"])
 
 
-_EDGES = "edges AS (SELECT c_nationkey AS s, s_nationkey AS o, count(*) AS n FROM (SELECT * FROM customer WHERE c_custkey % 10 = 0) JOIN supplier ON c_custkey % 25 = s_nationkey GROUP BY ALL)"
+_EDGES = "edges AS (SELECT c_nationkey AS s, s_nationkey AS o, count(*) AS n FROM customer JOIN supplier ON c_custkey % 25 = s_nationkey GROUP BY ALL)"
 
 
 @query("entity_relationships", f"WITH {_EDGES} SELECT DISTINCT n_nationkey AS entity_id, s, o, n FROM nation JOIN edges ON n_nationkey = s OR n_nationkey = o")
 def entity_relationships(t):
-    """Either end: two equi-joins united, not one disjunctive loop."""
-    c, s = t.customer.where("c_custkey % 10 = 0").withColumn("k", (F.col("c_custkey") % 25).cast("int")), t.supplier
-    edges = c.join(s, c.k == s.s_nationkey).groupBy(F.col("c_nationkey").alias("s"), F.col("s_nationkey").alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    """Either end: two equi-joins united, not one disjunctive loop; both sides are counted before they meet."""
+    c = t.customer.groupBy(F.col("c_nationkey").alias("s"), (F.col("c_custkey") % 25).cast("int").alias("o")).agg(F.count(F.lit(1)).alias("nc"))
+    s = t.supplier.groupBy(F.col("s_nationkey").alias("o")).agg(F.count(F.lit(1)).alias("ns"))
+    edges = c.join(s, "o").select("s", "o", (F.col("nc") * F.col("ns")).alias("n"))
     ends = edges.select(F.col("s").alias("entity_id"), "s", "o", "n").union(edges.select(F.col("o").alias("entity_id"), "s", "o", "n")).distinct()
     return ends.join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("entity_id"))), "entity_id", "left_semi")
 
@@ -126,17 +127,19 @@ def _hashes(t):
     return t.embeddings.select("vec_id", F.aggregate(F.reverse(F.transform(F.slice("embedding", 1, 60), lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))), F.lit(0).cast("long"), lambda s, b: s * 2 + b).alias("h"))
 
 
-@query("hamming_pairs", f"WITH {_HASH} SELECT x.k AS a, y.k AS b, bit_count(xor(x.h, y.h)) AS distance FROM h x JOIN h y ON x.k < y.k AND bit_count(xor(x.h, y.h)) <= 5")
+@query("hamming_pairs", f"WITH {_HASH}, c AS (SELECT h, min(k) AS k, count(*) AS n FROM h GROUP BY h) SELECT x.k AS a, y.k AS b, bit_count(xor(x.h, y.h)) AS distance, x.n AS n_a, y.n AS n_b FROM c x JOIN c y ON x.k < y.k AND bit_count(xor(x.h, y.h)) <= 5")
 def hamming_pairs(t):
+    """Pairs of the vectors' classes of equal hashes, by their least members, with the classes' sizes."""
     return R.hamming_pairs(_hashes(t), "vec_id", "h")
 
 
 _L2 = "list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2 for i in range(1, 65)])"
 
 
-@query("knn_exact", f"SELECT query, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM (SELECT b.vec_id AS query, a.vec_id, round({_L2}, 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id < 5)) WHERE rank <= 10")
+@query("knn_exact", f"SELECT query, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM (SELECT b.vec_id AS query, a.vec_id, round({_L2}, 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0)) WHERE rank <= 10")
 def knn_exact(t):
-    return R.nearest(t.embeddings, t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "vec_id", "embedding", "q", "qv", 10)
+    """The queries are all vectors whose id is divisible by 100."""
+    return R.nearest(t.embeddings, t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "vec_id", "embedding", "q", "qv", 10)
 
 
 @query("medoid_assign", "SELECT vec_id, medoid, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, medoid) AS rn FROM (SELECT a.vec_id, b.vec_id AS medoid, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id < 8)) WHERE rn = 1")
@@ -158,11 +161,11 @@ def medoid_vectors(t):
     return albums.join(t.embeddings, ["label", "vec_id"]).select(F.col("label").alias("album"), F.col("vec_id").alias("medoid"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("x")).distinct()
 
 
-@query("inventory_order", duck("SELECT * FROM (SELECT DISTINCT 0 AS kind, root_label, split_part(relative_path, '/', 1) AS path FROM items UNION ALL SELECT 1, root_label, relative_path FROM items) ORDER BY kind, len(string_split(path, '/')), path, root_label LIMIT 500", "items"))
+@query("inventory_order", duck("SELECT * FROM (SELECT DISTINCT 0 AS kind, root_label, split_part(relative_path, '/', 1) AS path FROM items UNION ALL SELECT 1, root_label, relative_path FROM items) ORDER BY kind, len(string_split(path, '/')), path, root_label", "items"))
 def inventory_order(t):
     i = t.items()
     folders = i.select(F.lit(0).alias("kind"), "root_label", F.substring_index("relative_path", "/", 1).alias("path")).distinct()
-    return folders.union(i.select(F.lit(1), "root_label", "relative_path")).orderBy("kind", F.size(F.split("path", "/")), "path", "root_label").limit(500)
+    return folders.union(i.select(F.lit(1), "root_label", "relative_path")).orderBy("kind", F.size(F.split("path", "/")), "path", "root_label")
 
 
 @query("truncate_report", "SELECT source, count(*) AS total, list_slice(list_sort(list(doc_id)), 1, 100) AS first, count(*) > 100 AS truncated FROM documents GROUP BY source")

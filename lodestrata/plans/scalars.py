@@ -87,10 +87,9 @@ def fn_sha(t):
     return t.pages.select("page_id", F.sha2("html", 256).alias("sha"), C.stable_id("page", "url").alias("page_key"))
 
 
-@query("fn_escape", "SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, replace(substr(text, 1, 200), '|', '\\|') AS cell FROM documents")
+@query("fn_escape", "SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, replace(text, '|', '\\|') AS cell FROM documents")
 def fn_escape(t):
-    x = F.substring("text", 1, 200)
-    html = x
+    x = html = F.col("text")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         html = F.replace(html, F.lit(a), F.lit(b))
     return t.documents.select("doc_id", html.alias("html"), F.replace(x, F.lit("|"), F.lit("\\|")).alias("cell"))

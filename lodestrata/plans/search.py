@@ -28,18 +28,19 @@ def tokenize(t):
 
 @query("bm25_search", duck(f"WITH {_BM25} SELECT source, doc_id, score FROM bm25", "toks"))
 def bm25_search(t):
-    return L.bm25(t.documents, TERMS)
+    """From the postings of the terms; tests hold them against the plan that reads all texts."""
+    return t.index().bm25(TERMS)
 
 
 @query("bm25_topk", duck(f"WITH {_BM25} SELECT source, doc_id, score, island_rank, 'corpus_cache.documents.' || doc_id AS ref FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS island_rank FROM bm25) WHERE island_rank <= 30 ORDER BY score DESC, doc_id LIMIT 30", "toks"))
 def bm25_topk(t):
-    top = L.island_top(L.bm25(t.documents, TERMS), "source", "doc_id", 30)
+    top = L.island_top(t.index().bm25(TERMS), "source", "doc_id", 30)
     return top.select("source", "doc_id", "score", F.col("island_rank").cast("long").alias("island_rank"), C.evidence_ref("corpus_cache", "documents", F.col("doc_id").cast("string")).alias("ref"))
 
 
 @query("phrase_search", duck(r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, term, lead(term) OVER w AS b, lead(term, 2) OVER w AS c FROM (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '' AND octet_length(encode(t)) <= 40) AS l FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE term = 'licensed' AND b = 'under' AND c = 'the' GROUP BY doc_id"))
 def phrase_search(t):
-    return L.phrase(t.documents, ["licensed", "under", "the"])
+    return t.index().phrase(["licensed", "under", "the"])
 
 
 @query("lenient_query", duck("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM toks WHERE toks.doc_id = d.doc_id AND term = 'apache') AND (EXISTS (SELECT 1 FROM toks WHERE toks.doc_id = d.doc_id AND term = 'the') OR lang = 'fr') AND NOT EXISTS (SELECT 1 FROM toks WHERE toks.doc_id = d.doc_id AND term = 'idiot')", "toks"))
@@ -115,7 +116,7 @@ _HYBRID = f"{_BM25}, f AS (SELECT doc_id AS key, row_number() OVER (ORDER BY sco
 @query("hybrid_search", duck(f"WITH {_HYBRID} SELECT key, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, list_sort(list(b)) AS backends, min(r) AS best_rank FROM c GROUP BY key ORDER BY score DESC, best_rank, key LIMIT 30", "toks"))
 def hybrid_search(t):
     """BM25 and vector candidates, 60 of each, fused by reciprocal ranks."""
-    f = L.bm25(t.documents, TERMS).orderBy(F.desc("score"), "doc_id").limit(60).select(F.col("doc_id").alias("key"), F.struct((-F.col("score")).alias("x"), "doc_id").alias("o"), F.lit("fts").alias("backend"))
+    f = t.index().bm25(TERMS).orderBy(F.desc("score"), "doc_id").limit(60).select(F.col("doc_id").alias("key"), F.struct((-F.col("score")).alias("x"), "doc_id").alias("o"), F.lit("fts").alias("backend"))
     target = C.unit(F.array(*(F.lit(1.0 if w in ("the", "license") else 0.0) for w in VOCAB)))
     d = t.documents.select("doc_id", F.round(C.l2(C.vocabulary_vector("text", VOCAB), target), 6).alias("d")).orderBy("d", "doc_id").limit(60)
     s = d.select(F.col("doc_id").alias("key"), F.struct(F.col("d").alias("x"), "doc_id").alias("o"), F.lit("semantic").alias("backend"))
@@ -132,7 +133,7 @@ def backend_status(t):
 @query("rerank_stub")
 def rerank_stub(t):
     """The rerank hook with a deterministic reranker over the 60 candidates: shorter documents first."""
-    top = L.bm25(t.documents, TERMS).orderBy(F.desc("score"), "doc_id").limit(60)
+    top = t.index().bm25(TERMS).orderBy(F.desc("score"), "doc_id").limit(60)
     return routing.rerank(top.join(t.documents.select("doc_id", "n_chars"), "doc_id"), lambda pdf: pdf.sort_values(["n_chars", "doc_id"]).doc_id.tolist())
 
 
@@ -151,12 +152,12 @@ def semantic_index_build(t):
     return digest(t.chunks().where("body <> ''"), ["root_label"], F.col("chunk_id"), F.col("body"), "vocab6").select("root_label", "n_rows", "watermark")
 
 
-_UTOK = r"ut AS (SELECT summary_id, scope_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM units), udl AS (SELECT summary_id, count(*) AS dl FROM ut GROUP BY 1), un AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM units LEFT JOIN udl USING (summary_id)), utf AS (SELECT summary_id, term, count(*) AS tf FROM ut WHERE term IN ('the', 'of', 'and') GROUP BY ALL), udf AS (SELECT term, count(*) AS df FROM utf GROUP BY 1), route AS (SELECT summary_id, row_number() OVER (ORDER BY score DESC, summary_id) AS rank, score FROM (SELECT summary_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM utf JOIN udf USING (term) JOIN udl USING (summary_id), un GROUP BY summary_id) ORDER BY rank LIMIT 12)"
+_UTOK = r"ut AS (SELECT summary_id, scope_id, unnest(list_filter(regexp_split_to_array(lower(summary), '[^\p{L}\p{N}]+'), lambda t: t <> '' AND octet_length(encode(t)) <= 40)) AS term FROM units), udl AS (SELECT summary_id, count(*) AS dl FROM ut GROUP BY 1), un AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM units LEFT JOIN udl USING (summary_id)), utf AS (SELECT summary_id, term, count(*) AS tf FROM ut WHERE term IN ('the', 'of', 'and') GROUP BY ALL), udf AS (SELECT term, count(*) AS df FROM utf GROUP BY 1), route AS (SELECT summary_id, row_number() OVER (ORDER BY score DESC, summary_id) AS rank, score FROM (SELECT summary_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM utf JOIN udf USING (term) JOIN udl USING (summary_id), un GROUP BY summary_id) ORDER BY rank LIMIT 12)"
 
 
 def _route(t):
     units = t.units().withColumn("all", F.lit("all"))
-    hits = L.bm25(units, ["the", "of", "and"], "all", "summary_id", "title").orderBy(F.desc("score"), "summary_id").limit(12)
+    hits = L.bm25(units, ["the", "of", "and"], "all", "summary_id", "summary").orderBy(F.desc("score"), "summary_id").limit(12)
     return hits.select("summary_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "summary_id")).cast("long").alias("rank"))
 
 
@@ -165,9 +166,9 @@ def route_lexical(t):
     return _route(t)
 
 
-@query("route_semantic", "SELECT summary_id, rank FROM (SELECT 'u' || doc_id AS summary_id, row_number() OVER (ORDER BY contains(lower(substr(text, 1, 24)), 'the') DESC, 'u' || doc_id) AS rank FROM documents) WHERE rank <= 12")
+@query("route_semantic", "SELECT summary_id, rank FROM (SELECT 'u' || doc_id AS summary_id, row_number() OVER (ORDER BY contains(lower(text), 'the') DESC, 'u' || doc_id) AS rank FROM documents) WHERE rank <= 12")
 def route_semantic(t):
-    v = C.vocabulary_vector("title", ["the"])
+    v = C.vocabulary_vector("summary", ["the"])
     near = t.units().select("summary_id", C.l2(v, F.array(F.lit(1.0))).alias("d")).orderBy("d", "summary_id").limit(12)
     return near.select("summary_id", F.row_number().over(Window.orderBy("d", "summary_id")).cast("long").alias("rank"))
 
@@ -184,9 +185,9 @@ _ROUTED = f"{_UTOK}, scopes AS (SELECT root_id FROM (SELECT root_id, min(rank) A
 
 @query("routed_search", duck(f"WITH {_ROUTED}, {_BM25} SELECT source, doc_id, score FROM bm25 WHERE source IN (SELECT root_id FROM scopes) ORDER BY score DESC, doc_id LIMIT 30", "units", "toks"))
 def routed_search(t):
-    """Summaries choose at most four scopes, which are then constants of the scan's filter."""
+    """Summaries choose at most four scopes, which then restrict the postings."""
     scopes = routing.select_scopes(_route(t).join(t.units().select("summary_id", "root_id"), "summary_id"), "root_id", "mid")
-    return L.bm25(t.documents.where(F.col("source").isin(scopes)) if scopes else t.documents, TERMS).orderBy(F.desc("score"), "doc_id").limit(30)
+    return t.index().bm25(TERMS, scopes).orderBy(F.desc("score"), "doc_id").limit(30)
 
 
 @query("budget_fanout", duck(f"WITH {_UTOK}, s AS (SELECT root_id, row_number() OVER (ORDER BY min(rank)) AS p FROM route JOIN units USING (summary_id) GROUP BY root_id) SELECT b AS budget, count_if(p <= k) AS scopes FROM s, (VALUES ('low', 1), ('mid', 4), ('high', 8)) v(b, k) GROUP BY b", "units"))
@@ -271,15 +272,15 @@ def token_budget(t):
     return rows.select("doc_id", "tokens", F.lit(300 * 50).alias("budget"), (F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_id")) <= 15000).alias("within"))
 
 
-_NEAR = r"s AS (SELECT doc_id, ('0x' || substr(sha256(list_aggregate(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) > 9))), 'string_agg', ' ')), 1, 15))::BIGINT AS h FROM documents)"
+_BITS = ", ".join(f"sum((h >> {i}) & 1) AS b{i}" for i in range(60))
+_NEAR = f"f AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h FROM toks), s AS (SELECT doc_id, count(*) AS n, {_BITS} FROM f GROUP BY doc_id), v AS (SELECT doc_id, ({' + '.join(f'CASE WHEN 2 * b{i} > n THEN {1 << i}::BIGINT ELSE 0 END' for i in range(60))})::BIGINT AS h FROM s)"
 
 
-@query("near_dupes", f"WITH {_NEAR} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.h, y.h)) AS distance FROM s x JOIN s y ON x.doc_id < y.doc_id AND bit_count(xor(x.h, y.h)) <= 3")
+@query("near_dupes", duck(f"WITH {_NEAR} SELECT x.doc_id, min(y.doc_id) FILTER (y.h = x.h) AS class_id, count(*) - 1 AS n_links FROM v x JOIN v y ON bit_count(xor(x.h, y.h)) <= 3 GROUP BY x.doc_id", "toks"))
 def near_dupes(t):
-    """Documents whose fingerprints over their long words are within three bits."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), C.WORD_BREAK), lambda w: F.length(w) > 9)))
-    h = F.conv(F.substring(F.sha2(F.nullif(F.array_join(words, " "), F.lit("")), 256), 1, 15), 16, 10).cast("long")
-    return R.hamming_pairs(t.documents.select("doc_id", h.alias("h")).where("h IS NOT NULL"), "doc_id", "h", 3)
+    """Documents by a 60-bit SimHash of all their tokens: the class of equal fingerprints, and how many others are within three bits."""
+    terms = t.documents.select("doc_id", F.explode(C.tokens("text")).alias("term"))
+    return R.hamming_links(R.simhash(terms, "doc_id", "term"), "doc_id", "h", 3)
 
 
 @query("index_routing", duck(f"WITH {_SELECT} SELECT root_id, count_if(kept) AS n_kept, count_if(NOT kept) AS n_overflow FROM kept GROUP BY root_id", "units"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from lodestrata.functions import columns as C
 from lodestrata.functions.embedders import embedder_udf, hashing_model, summary_udf
 from lodestrata.plans.inventory import _FILES, _media
 from lodestrata.plans.registry import query
+from lodestrata.session import shared_dir
 from lodestrata.sources.views import _SPACE, duck, sid
 from lodestrata.streaming import events as S
 
@@ -20,9 +20,8 @@ from lodestrata.streaming import events as S
 def x_stream_window(t):
     """The stream drained once: its last result equals the batch's."""
     folder = f"{t.sf_dir}/events.parquet"
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")  # set on a cluster
-    name = f"windows_{uuid.uuid4().hex[:8]}"
-    done = S.drain(S.windowed(S.event_stream(t.spark, folder)), name, f"{shared}/stream-{name}")
+    to = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    done = S.drain(S.windowed(S.event_stream(t.spark, folder)), f"{to}/windows", f"{to}/checkpoint")
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -35,7 +34,7 @@ def udf_summary(t):
             raise ValueError("no answer")
         return prompt.split(".")[0][:60]
 
-    return t.documents.select("doc_id", summary_udf(generate)(F.substring("text", 1, 700)).alias("summary"))
+    return t.documents.select("doc_id", summary_udf(generate)("text").alias("summary"))
 
 
 @query("udf_embed")

@@ -117,19 +117,23 @@ def ndcg_at_k(t):
     return _metrics(t).select("query", "ndcg_at_10")
 
 
-_PASSAGES = "judged AS (SELECT item_id::VARCHAR AS query, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ranked AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY n_chars, item) AS rank FROM (SELECT item_id::VARCHAR AS query, doc_id AS item, n_chars FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 30))))"
+_PASSAGES = """parts AS (SELECT item_id, text AS part, true AS whole FROM benchmark UNION ALL SELECT DISTINCT item_id, part, false FROM (SELECT item_id, unnest(string_split(text, '. ')) AS part FROM benchmark) WHERE len(string_split(part, ' ')) >= 3),
+found AS (SELECT item_id::VARCHAR AS query, doc_id AS item, n_chars, bool_or(whole) AS whole, count_if(NOT whole) AS n FROM parts JOIN documents d ON part <> '' AND contains(d.text, part) GROUP BY ALL),
+judged AS (SELECT query, item FROM found WHERE whole), ranked AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY n DESC, n_chars, item) AS rank FROM found)"""
 
 
 @query("eval_report", f"WITH {_PASSAGES}, {_METRICS} SELECT * FROM m")
 def eval_report(t):
-    """All queries in one plan: benchmark passages, judged by whole containment, ranked by how short the document with their beginning is."""
+    """All queries in one plan: benchmark passages, judged by whole containment, ranked by how many of their sentences of three words or more a document has, then by its shortness."""
     from lodestrata.operators.passages import containing
 
-    judged = containing(t.documents, t.benchmark, F.col("text")).select(F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("item"))
-    hits = containing(t.documents, t.benchmark, F.substring("text", 1, 30))
-    w = Window.partitionBy("item_id").orderBy("n_chars", "doc_id")
-    ranked = hits.select(F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("item"), F.row_number().over(w).alias("rank"))
-    return K.metrics(ranked, judged)
+    whole = t.benchmark.select("item_id", F.col("text").alias("part"), F.lit(True).alias("whole"))
+    sentences = t.benchmark.select("item_id", F.explode(F.split("text", r"\. ")).alias("part"), F.lit(False).alias("whole")).where(F.size(F.split("part", " ")) >= 3).distinct()
+    parts = whole.unionByName(sentences)
+    found = containing(t.documents, parts).join(parts, "part").groupBy(F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("item")).agg(F.bool_or("whole").alias("whole"), F.count_if(~F.col("whole")).alias("n"))
+    w = Window.partitionBy("query").orderBy(F.desc("n"), "n_chars", "item")
+    ranked = found.join(t.documents.select(F.col("doc_id").alias("item"), "n_chars"), "item").select("query", "item", F.row_number().over(w).alias("rank"))
+    return K.metrics(ranked, found.where("whole").select("query", "item"))
 
 
 @query("mean_vector", "SELECT label, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY label)")

@@ -17,6 +17,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def index(self):
+        """The lexical index of the documents; the first use builds it."""
+        from lodestrata.operators.index import index_of
+
+        return index_of(self.spark, f"{self.sf_dir}/documents.parquet")
+
     def roots(self) -> DataFrame:
         """root_label, root_id, scope_id of each source; one more for the pages."""
         labels = self.documents.select(F.col("source").alias("root_label")).distinct().union(self.spark.sql("SELECT 'pages'"))
@@ -62,7 +68,7 @@ class Tables:
         d = F.col("doc_id")
         kind = F.when(d % 50 == 0, "root_summary").when(d % 25 == 0, "album_summary").otherwise("cluster")
         return self.documents.select(
-            F.concat(F.lit("u"), d).alias("summary_id"), F.col("source").alias("root_id"), F.col("lang").alias("scope_id"), kind.alias("kind"), F.substring("text", 1, 24).alias("title"),
+            F.concat(F.lit("u"), d).alias("summary_id"), F.col("source").alias("root_id"), F.col("lang").alias("scope_id"), kind.alias("kind"), F.substring("text", 1, 24).alias("title"), F.col("text").alias("summary"),
             (F.col("n_chars") % 40).alias("source_count"), F.when(d % 5 != 0, (d % 17) / F.lit(16.0)).alias("importance"), ((d % 13) / F.lit(12.0)).alias("coverage"),
         )
 
@@ -96,7 +102,7 @@ FROM objects o JOIN items i ON i.doc_id = o.doc_id JOIN roots r ON r.root_id = i
     ),
     "units": (
         (),
-        "SELECT 'u' || doc_id AS summary_id, source AS root_id, lang AS scope_id, CASE WHEN doc_id % 50 = 0 THEN 'root_summary' WHEN doc_id % 25 = 0 THEN 'album_summary' ELSE 'cluster' END AS kind, substr(text, 1, 24) AS title, n_chars % 40 AS source_count, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 17) / 16.0::DOUBLE END AS importance, (doc_id % 13) / 12.0::DOUBLE AS coverage FROM documents",
+        "SELECT 'u' || doc_id AS summary_id, source AS root_id, lang AS scope_id, CASE WHEN doc_id % 50 = 0 THEN 'root_summary' WHEN doc_id % 25 = 0 THEN 'album_summary' ELSE 'cluster' END AS kind, substr(text, 1, 24) AS title, text AS summary, n_chars % 40 AS source_count, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 17) / 16.0::DOUBLE END AS importance, (doc_id % 13) / 12.0::DOUBLE AS coverage FROM documents",
     ),
     "toks": ((), r"SELECT doc_id, source, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '' AND octet_length(encode(t)) <= 40)) AS term FROM documents"),
 }

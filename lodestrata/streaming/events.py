@@ -38,11 +38,19 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now goes through the stream into a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """All that is there now goes through the stream into Parquet files: in complete mode the last batch's are the result, else every batch's."""
+    spark, batches = stream.sparkSession, []
+
+    def keep(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/{batch_id}")  # a batch that is run again replaces its files
+        batches.append(batch_id)
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    wanted = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/{b}" for b in wanted))
 
 
 def upsert_into(stream: DataFrame, read, write, key: str, checkpoint: str):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lodestrata.functions import columns as C
 from lodestrata.operators import inventory as I
 from lodestrata.operators import lexical as L
+from lodestrata.operators import passages
 from lodestrata.operators import ranking as K
 from lodestrata.operators import relations as R
 from lodestrata.operators import routing
+from lodestrata.operators.index import LexicalIndex
 from lodestrata.operators.querylang import matches
 from lodestrata.sources.store import Catalog
 
@@ -60,9 +62,54 @@ def test_hamming_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 60, 60)
     h = np.concatenate([h, h ^ (1 << rng.integers(0, 60, 60)), h[:20] ^ 0b11111, h[:5]]).tolist()
-    got = {(r.a, r.b, r.distance) for r in R.hamming_pairs(spark.createDataFrame(list(enumerate(h)), "k long, h long"), "k", "h").collect()}
-    want = {(i, j, (h[i] ^ h[j]).bit_count()) for i in range(len(h)) for j in range(i + 1, len(h)) if (h[i] ^ h[j]).bit_count() <= 5}
-    assert got == want
+    df = spark.createDataFrame(list(enumerate(h)), "k long, h long")
+    for limit in (3, 5):
+        got = sorted(map(tuple, R.hamming_pairs(df, "k", "h", limit).collect()))
+        rep = {x: h.index(x) for x in h}
+        one = sorted(rep.values())
+        want = [(i, j, (h[i] ^ h[j]).bit_count(), h.count(h[i]), h.count(h[j])) for i in one for j in one if i < j and (h[i] ^ h[j]).bit_count() <= limit]
+        assert got == sorted(want)
+    links = {r.k: (r.class_id, r.n_links) for r in R.hamming_links(df, "k", "h", 3).collect()}
+    assert links == {i: (rep[x], sum((x ^ y).bit_count() <= 3 for y in h) - 1) for i, x in enumerate(h)}
+
+
+def test_simhash_of_tokens_keeps_edited_copies_together(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
+    edited = [w if i % 200 else "x" for i, w in enumerate(words)]
+    rows = [(1, w) for w in words] + [(2, w) for w in edited] + [(3, f"v{i}") for i in range(400)] + [(4, w) for w in reversed(words)]
+    h = {r.k: r.h for r in R.simhash(spark.createDataFrame(rows, "k long, w string"), "k", "w").collect()}
+    assert h[1] == h[4] and (h[1] ^ h[2]).bit_count() <= 8 and (h[1] ^ h[3]).bit_count() > 15
+
+
+@pytest.mark.parametrize("words", [["b", "c"], ["a", "b", "a"], ["zz"], ["a", "a"]])
+def test_index_gives_what_the_texts_give(spark, tmp_path, words):
+    rows = [("s", 1, "a b a b a, B c"), ("s", 2, "a a a"), ("t", 3, "b  c\nb-c a"), ("t", 4, None), ("t", 5, "")]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    index = LexicalIndex(spark, str(tmp_path), 4).build(docs)
+    plain = sorted(map(tuple, L.phrase(docs, words).collect()))
+    assert sorted(map(tuple, index.phrase(words).collect())) == plain
+    assert sorted(map(tuple, index.bm25(words).collect())) == sorted(map(tuple, L.bm25(docs, words).collect()))
+    assert sorted(map(tuple, index.bm25(words, ["t"]).collect())) == sorted(map(tuple, L.bm25(docs.where("source = 't'"), words).collect()))
+    assert {r.scope: r.n for r in index.scopes().collect()} == {"s": 2, "t": 3}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_passages_within_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(passages, "MAX_BYTES", most)
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "a"), (3, None), (4, "")], "doc_id long, text string")
+    parts = spark.createDataFrame([("the quick brown fox jumps",), ("a",), ("",), ("quick",), ("the quick brown fox sleeps",), ("quick",)], "part string")
+    assert sorted(map(tuple, passages.containing(docs, parts).collect())) == [(1, "quick"), (1, "the quick brown fox jumps"), (2, "a")]
+
+
+@pytest.mark.parametrize("message, kind", [("Incorrect password", "pdf_password_required"), ("std::bad_alloc", "resource_exhausted_memory"), ("password needed", "docling_convert_failed"), ("ConversionTimeout", "document_timeout"), ("page limit", "document_too_many_pages"), ("file size limit", "document_too_large"), ("Skipped", "docling_skipped"), ("cannot be opened", "docling_input_invalid"), (None, "docling_convert_failed")])
+def test_kinds_of_failures(spark, message, kind):
+    assert spark.createDataFrame([(message,)], "m string").select(C.error_kind("m")).first()[0] == kind
+
+
+@pytest.mark.parametrize("path, kind", [("a/b.TAR.GZ", "application/x-tar"), ("b.tgz", "application/x-tar"), ("m.glb", "model/gltf-binary"), ("x.css", "text/css"), ("x.svg", "image/svg+xml"), ("noext", "application/octet-stream"), (".txt", "application/octet-stream"), ("p.JPG", "image/jpeg")])
+def test_media_types(spark, path, kind):
+    assert one(spark, C.media_type("x"), x=path) == kind
 
 
 def test_query_language(spark):
