@@ -1,16 +1,13 @@
 """SimHash near-duplicates by a hierarchical index over fingerprints in Gray order.
 
-The distinct fingerprints are sorted by Gray rank over all partitions, so that each
-partition is a range of the Gray sequence. Of each range the bits that all its
-fingerprints share, as pattern and mask, are the lowest of the upper nodes; a node
-above holds what the nodes below it share and no node above it has. The upper nodes
-are broadcast: RANGES ranges at most. Every fingerprint descends through them, adding
+Fingerprints within two bits are equal in one of three blocks of 21 or 22 bits at least,
+so each distinct one goes to three keys: the roots of the index, whose mask is a block
+and whose pattern its value. Below a root the fingerprints are sorted by Gray rank, and
+a node holds the bits that all below it share and no node above it has. A search adds
 up its differences from the root on, and leaves a node with all below it as soon as
-they exceed the limit; it visits the ranges that are left, at and behind its own.
-There a tree of the same kind over the range's own fingerprints goes down to single
-ones. A fingerprint has at most 2,080 others within two bits, so links are bounded by
-the distinct fingerprints; links within a range are told as one per fingerprint, to
-the least of its local component.
+they exceed the limit. A fingerprint has at most 2,080 others within two bits, so links
+are bounded by the distinct fingerprints; a root tells one link per fingerprint at
+most, to the least of its local component.
 
 Near copies by similarity need more bits than two: see simhash_similar.
 """
@@ -20,17 +17,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import bounded_batches, connected_components, map_texts, merge_roots, stored, utf8
+from lodestrata.llm.shared import connected_components, map_texts, merge_roots, stored, utf8
 
 MAX_BITS = 2
 FANOUT = 8
 #: Queries that descend the tree together.
 BLOCK = 1 << 13
-#: Fingerprints of a range, where there are no more than RANGES of them; beyond that ranges grow.
-PER_RANGE, RANGES = 1 << 13, 1 << 16
+#: The first bits and the widths of the blocks: one more than MAX_BITS.
+BLOCKS = ((0, 21), (21, 21), (42, 22))
 
 
 def fingerprints(texts: list[bytes], size: int = 3) -> np.ndarray:
@@ -123,85 +120,39 @@ def index_links(group: np.ndarray, codes: np.ndarray, limit: int = MAX_BITS):
             yield q[keep], node[keep]
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _visits(sent, limit: int):
-    """From rows (range, fp, rep): (range, own, fp, rep) for each range that a fingerprint visits, none before its own."""
-
-    def run(batches):
-        ranges, pattern, mask = sent.value
-        tree = Tree(np.zeros(len(ranges), np.int64), pattern, mask)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            home, fp, rep = (b.column(i).to_numpy() for i in range(3))
-            for q, node in tree.descend(np.zeros(len(fp), np.int64), fp.view(np.uint64), limit):
-                to = ranges[node]
-                keep = to >= home[q]
-                q, to = q[keep], to[keep]
-                yield pa.record_batch([pa.array(to), pa.array(to == home[q]), pa.array(fp[q]), pa.array(rep[q])], names=["range", "own", "fp", "rep"])
-
-    return run
-
-
 def _edges(limit: int):
-    """Links within each range, from rows (range, own, fp, rep) sorted by range, its own fingerprints first; visitors go by block by block."""
+    """Links within each key, from rows (key, fp, rep) sorted by it."""
+
+    def links(key, fp, rep):
+        group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        many = np.bincount(group)[group] > 1
+        group, fp, rep = group[many], fp[many], rep[many]
+        if not len(fp):
+            return
+        order = np.lexsort((gray_rank(fp), group))
+        group, fp, rep = group[order], fp[order], rep[order]
+        parent = np.arange(len(fp))
+        for i, j in index_links(group, fp, limit):
+            parent = merge_roots(parent, i, j)
+        moved = parent != np.arange(len(fp))
+        if moved.any():
+            yield pa.record_batch([pa.array(rep[moved]), pa.array(rep[parent[moved]])], names=["a", "b"])
 
     def run(batches):
-        at, own, tree = None, [], None
-        guests: list = []
-
-        def links(a, b):
-            return pa.record_batch([pa.array(a), pa.array(b)], schema=_LINKS)
-
-        def build():
-            nonlocal own, tree
-            fp, rep = (np.concatenate(c) for c in zip(*own))
-            order = np.argsort(gray_rank(fp), kind="stable")
-            fp, rep = fp[order], rep[order]
-            group, parent = np.zeros(len(fp), np.int64), np.arange(len(fp))
-            tree = Tree(group, fp, np.full(len(fp), np.uint64(0xFFFFFFFFFFFFFFFF)))
-            for i, j in tree.descend(group, fp, limit):
-                parent = merge_roots(parent, i[i < j], j[i < j])
-            own = rep, parent
-            moved = parent != np.arange(len(parent))
-            if moved.any():
-                yield links(rep[moved], rep[parent[moved]])
-
-        def visit():
-            nonlocal guests
-            fp, rep = (np.concatenate(c) for c in zip(*guests))
-            guests = []
-            for q, node in tree.descend(np.zeros(len(fp), np.int64), fp, limit):
-                pair = np.unique(np.stack([q, own[1][node]]), axis=1)
-                yield links(rep[pair[0]], own[0][pair[1]])
-
-        def close():
-            if own and tree is None:
-                yield from build()
-            if guests and tree is not None:
-                yield from visit()
-
+        held: list[tuple] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            span, mine, fp, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            cuts = np.concatenate([[0], np.flatnonzero((span[1:] != span[:-1]) | (mine[1:] != mine[:-1])) + 1, [len(span)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if span[lo] != at:
-                    yield from close()
-                    at, own, tree, guests = span[lo], [], None, []
-                part = fp[lo:hi].view(np.uint64), rep[lo:hi]
-                if mine[lo]:
-                    own.append(part)
-                    continue
-                if tree is None and own:
-                    yield from build()
-                guests.append(part)
-                if sum(len(g[0]) for g in guests) > BLOCK:
-                    yield from visit()
-        yield from close()
+            key, fp, rep = (b.column(i).to_numpy() for i in range(3))
+            held.append((key, fp.view(np.uint64), rep))
+            if sum(len(h[0]) for h in held) < 1 << 17 or key[-1] == held[0][0][0]:
+                continue  # not while one key goes on
+            key, fp, rep = (np.concatenate(c) for c in zip(*held))
+            cut = int(np.searchsorted(key, key[-1]))
+            yield from links(key[:cut], fp[:cut], rep[:cut])
+            held = [(key[cut:], fp[cut:], rep[cut:])]
+        if held:
+            yield from links(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
@@ -217,36 +168,15 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return map_texts(rows, run, "doc_id long, fp long")
 
 
-def gray_column(fp: str) -> Column:
-    """gray_rank() of a long's 64 bits, in the order of signed longs."""
-    r = F.col(fp)
-    for k in (1, 2, 4, 8, 16, 32):
-        r = r.bitwiseXOR(F.shiftrightunsigned(r, k))
-    return r.bitwiseXOR(F.lit(-(1 << 63)))
-
-
-def simhash_components(fps: DataFrame, limit: int = MAX_BITS, per_range: int = PER_RANGE) -> DataFrame:
-    """(fp, component_id) for each distinct fp of (doc_id, fp); component_id is the least doc_id reachable by links of at most `limit` bits.
+def simhash_components(fps: DataFrame) -> DataFrame:
+    """(fp, component_id) for each distinct fp of (doc_id, fp); component_id is the least doc_id reachable by links of at most MAX_BITS bits.
 
     A null doc_id takes no part: its row is linked with nothing and has no component but its class's.
     """
-    spark = fps.sparkSession
-    bounded_batches(spark)
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    placed = classes.where("rep is not null")
-    ranges = min(RANGES, max(1, -(-placed.count() // per_range)))
-    rank = placed.select("fp", "rep", gray_column("fp").alias("rank")).repartitionByRange(ranges, "rank")
-    placed = stored(rank.select(F.spark_partition_id().cast("long").alias("range"), "fp", "rep"), "gray-ranges")
-    upper = placed.groupBy("range").agg(F.bit_and("fp"), F.bit_or("fp")).toArrow()  # `ranges` rows, or the tool's partitions
-    number, every, some = (upper.column(i).to_numpy().astype(np.int64) for i in range(3))
-    order = np.argsort(number)
-    mask = ~(every ^ some)[order].view(np.uint64)
-    if len(order):
-        sent = spark.sparkContext.broadcast((number[order], every[order].view(np.uint64) & mask, mask))
-        visits = placed.mapInArrow(_visits(sent, limit), "range long, own boolean, fp long, rep long")
-        edges = visits.repartition("range").sortWithinPartitions("range", F.desc("own")).mapInArrow(_edges(limit), "a long, b long")
-    else:
-        edges = placed.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    keys = [F.lit(c << 60).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))) for c, (first, width) in enumerate(BLOCKS)]
+    dealt = classes.where("rep is not null").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    edges = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(MAX_BITS), "a long, b long")
     found = connected_components(edges)
     return classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
