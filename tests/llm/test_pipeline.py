@@ -6,6 +6,7 @@ import xxhash
 from lodestrata.llm.pii import base_spans
 from lodestrata.llm.quality import fit_quality, quality_scores
 from lodestrata.llm.simhash import fingerprints
+from lodestrata.llm.simhash_similar import shingle_set
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_packing import check
 
@@ -24,17 +25,15 @@ def test_stages_one_after_the_other(spark):
     assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == keep
 
     second = step["near_duplicates"](spark, first, SF).cache()
-    got = first.collect()
-    rows = sorted((r.doc_id, int(f)) for r, f in zip(got, fingerprints([r.text.encode() for r in got], 5)))
+    rows = sorted((r.doc_id, set(shingle_set(r.text.encode()).tolist())) for r in first.collect())
     label = {i: i for i, _ in rows}
-    changed = True
-    while changed:
-        changed = False
-        for i, x in rows:
-            for j, y in rows:
-                if (x ^ y).bit_count() <= 2 and label[i] != label[j]:
-                    label[i] = label[j] = min(label[i], label[j])
-                    changed = True
+    links = [(i, j) for n, (i, x) in enumerate(rows) for j, y in rows[n + 1 :] if len(x & y) >= 0.8 * len(x | y)]
+    for _ in range(len(rows)):
+        before = dict(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
     assert second.columns == docs.columns and {r.doc_id for r in second.collect()} == set(label.values())
 
     third = step["benchmark_decontamination"](spark, second, SF).cache()
@@ -56,6 +55,17 @@ def test_stages_one_after_the_other(spark):
     assert corpus_pipeline.run(spark, SF).count() == step["packing"](spark, fourth, SF).count()
 
 
+def test_stages_over_awkward_and_empty_tables(spark, awkward, no_docs):
+    step = dict(corpus_pipeline.STAGES)
+    for name in ("near_duplicates", "benchmark_decontamination", "personal_data"):
+        kept = step[name](spark, awkward, SF)
+        assert kept.dtypes == awkward.dtypes and 0 < kept.count() <= awkward.count()
+        assert step[name](spark, no_docs, SF).count() == 0
+    assert step["packing"](spark, no_docs, SF).count() == 0
+    null = step["personal_data"](spark, awkward.where("doc_id = 1"), SF).collect()
+    assert [(r.doc_id, r.text, r.n_chars) for r in null] == [(1, None, None)]
+
+
 def test_five_word_shingles():
     text = b"a b c d e f"
     hs = [xxhash.xxh64_intdigest(s, 42) for s in (b"a b c d e", b"b c d e f")]
