@@ -32,7 +32,7 @@ def bm25(docs: DataFrame, terms: list[str], scope: str = "source", key: str = "d
     terms = sorted(set(terms))
     toks = docs.select(scope, key, tokens(text).alias("_t"))
     counts = F.array(*(F.size(F.filter("_t", partial(_equal, w))) for w in terms))
-    rows = toks.select(scope, key, F.size("_t").alias("dl"), counts.alias("tfs"))
+    rows = toks.select(scope, key, F.when(F.col("_t").isNull(), 0).otherwise(F.size("_t")).alias("dl"), counts.alias("tfs"))
     stats = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tfs")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
