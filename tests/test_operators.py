@@ -13,6 +13,7 @@ from lodestrata.operators import relations as R
 from lodestrata.operators import routing
 from lodestrata.operators.index import LexicalIndex
 from lodestrata.operators.querylang import matches
+from lodestrata.plans import registry
 from lodestrata.sources.store import Catalog
 
 
@@ -82,6 +83,13 @@ def test_simhash_of_tokens_keeps_edited_copies_together(spark):
     assert h[1] == h[4] and (h[1] ^ h[2]).bit_count() <= 8 and (h[1] ^ h[3]).bit_count() > 15
 
 
+def test_near_dupes_tell_documents_without_tokens(spark, tmp_path):
+    rows = [(1, "red fox"), (2, None), (3, ""), (4, " .\n"), (5, "red fox"), (6, "x" * 50)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in registry.queries()["near_dupes"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1), 5: (1, 1), 2: (2, 3), 3: (2, 3), 4: (2, 3), 6: (2, 3)}
+
+
 @pytest.mark.parametrize("words", [["b", "c"], ["a", "b", "a"], ["zz"], ["a", "a"]])
 def test_index_gives_what_the_texts_give(spark, tmp_path, words):
     rows = [("s", 1, "a b a b a, B c"), ("s", 2, "a a a"), ("t", 3, "b  c\nb-c a"), ("t", 4, None), ("t", 5, "")]
