@@ -74,6 +74,16 @@ def test_hamming_pairs_equal_brute_force(spark):
     assert links == {i: (rep[x], sum((x ^ y).bit_count() <= 3 for y in h) - 1) for i, x in enumerate(h)}
 
 
+def test_hamming_pairs_tell_the_members_of_classes(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((4, 64))
+    v[3] = v[0] * [-1, *[1] * 63]  # one bit from the first
+    rows = [(i, v[k].tolist()) for i, k in enumerate([0, 1, 0, 2, 3, 0, 3])] + [(9, None), (10, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, registry.queries()["hamming_pairs"](spark, str(tmp_path)).select("a", "b", "distance", "n_a", "n_b").collect()))
+    assert got == [(0, 2, 0, 3, 3), (0, 4, 1, 3, 2), (0, 5, 0, 3, 3), (4, 6, 0, 2, 2)]
+
+
 def test_simhash_of_tokens_keeps_edited_copies_together(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
