@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import columns as C
+from lodestrata.operators import index as indexes
 from lodestrata.operators import inventory as I
 from lodestrata.operators import lexical as L
 from lodestrata.operators import passages
@@ -128,6 +129,22 @@ def test_index_gives_what_the_texts_give(spark, tmp_path, words):
     assert {r.scope: r.n for r in index.scopes().collect()} == {"s": 2, "t": 3}
 
 
+def test_index_is_built_in_slices_without_a_shuffle(spark, monkeypatch, tmp_path):
+    rows = [("st"[i % 2], i, f"a b{i % 3} c{i} " * (i % 5) + "É_x " + "y" * 41) for i in range(40)] + [("t", 40, None)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(3)
+    words = ["a", "b1", "é", "none"]
+    for most in (1, 100, indexes.SLICE_BYTES):
+        monkeypatch.setattr(indexes, "SLICE_BYTES", most)
+        index = LexicalIndex(spark, f"{tmp_path}/{most}", 4)
+        assert "Exchange" not in index.inverted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+        index.build(docs)
+        assert sorted(map(tuple, index.bm25(words).collect())) == sorted(map(tuple, L.bm25(docs, words).collect()))
+        whole = L.bm25(docs.withColumn("all", F.lit("all")), words, "all").select("doc_id", "score")
+        assert sorted(map(tuple, index.bm25(words, islands=False).select("doc_id", "score").collect())) == sorted(map(tuple, whole.collect()))
+        assert sorted(map(tuple, index.phrase(["a", "b2"]).collect())) == sorted(map(tuple, L.phrase(docs, ["a", "b2"]).collect()))
+        assert {r.scope: (r.n, r.dl) for r in index.scopes().collect()} == {s: (sum(r[0] == s for r in rows), sum(3 * (r[1] % 5) + 2 for r in rows if r[0] == s and r[2])) for s in "st"}
+
+
 @pytest.mark.parametrize("most", [1 << 20, 40])
 def test_passages_within_texts(spark, monkeypatch, most):
     monkeypatch.setattr(passages, "MAX_BYTES", most)
