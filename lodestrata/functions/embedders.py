@@ -37,16 +37,16 @@ def hashing_model(dim: int = 16) -> Callable[[list[str]], np.ndarray]:
 
 
 def summary_udf(generate: Callable[[str], str]):
-    """A column function from prompt to summary; a generator's failure is null, and the row stays."""
+    """A column function from prompt to summary; a generator's failure is null, and the row stays.
 
-    @F.pandas_udf("string")
-    def summarise(prompts: pd.Series) -> pd.Series:
-        def safe(p):
-            try:
-                return generate(p) if p is not None else None
-            except Exception:  # one prompt's failure is its own row's
-                return None
+    Prompts go to the worker some hundred at a time, not in Arrow batches of thousands of
+    texts, so its memory stays that of a few of them.
+    """
 
-        return prompts.map(safe)
+    def safe(prompt):
+        try:
+            return generate(prompt) if prompt is not None else None
+        except Exception:  # one prompt's failure is its own row's
+            return None
 
-    return summarise
+    return F.udf(safe, "string", useArrow=False)

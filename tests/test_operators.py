@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import columns as C
+from lodestrata.functions.embedders import summary_udf
 from lodestrata.operators import index as indexes
 from lodestrata.operators import inventory as I
 from lodestrata.operators import lexical as L
@@ -145,6 +146,15 @@ def test_index_is_built_in_slices_without_a_shuffle(spark, monkeypatch, tmp_path
         assert {r.scope: (r.n, r.dl) for r in index.scopes().collect()} == {s: (sum(r[0] == s for r in rows), sum(3 * (r[1] % 5) + 2 for r in rows if r[0] == s and r[2])) for s in "st"}
 
 
+def test_summaries_take_no_arrow_batches_of_texts(spark):
+    def generate(prompt):
+        return prompt[: 6 // (len(prompt) - 3)]  # a prompt of three letters fails
+
+    out = spark.createDataFrame([(1, "abcdefgh"), (2, "abc"), (3, None), (4, "")], "id long, text string").select("id", summary_udf(generate)("text").alias("s"))
+    assert {r.id: r.s for r in out.collect()} == {1: "a", 2: None, 3: None, 4: ""}
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("most", [1 << 20, 40])
 def test_passages_within_texts(spark, monkeypatch, most):
     monkeypatch.setattr(passages, "MAX_BYTES", most)
