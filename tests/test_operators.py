@@ -155,6 +155,21 @@ def test_summaries_take_no_arrow_batches_of_texts(spark):
     assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nearest_vectors_with_ties_and_odd_rows(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (60, 4)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(60, None), (61, [1.0, None, 0.0, 2.0]), (62, [1.0])]
+    df = spark.createDataFrame(rows, "k long, v array<float>").repartition(3)
+    asked = df.where("k % 10 = 0").select(F.col("k").alias("q"), F.col("v").alias("x"))
+    for own in (True, False):
+        got = sorted(map(tuple, R.nearest(df, asked, "k", "v", "q", "x", 5, exclude_self=own).where("query < 60").collect()))
+        want = []
+        for q in range(0, 60, 10):
+            best = sorted((float(((x - v[q]) ** 2).sum()), i) for i, x in enumerate(v) if not own or i != q)[:5]
+            want += [(q, i, d, r + 1) for r, (d, i) in enumerate(best)]
+        assert got == sorted(want)
+
+
 @pytest.mark.parametrize("most", [1 << 20, 40])
 def test_passages_within_texts(spark, monkeypatch, most):
     monkeypatch.setattr(passages, "MAX_BYTES", most)
