@@ -92,6 +92,14 @@ def test_hamming_pairs_equal_brute_force(spark):
     assert links == {i: (rep[x], sum((x ^ y).bit_count() <= 3 for y in h) - 1) for i, x in enumerate(h)}
 
 
+def test_hamming_pairs_do_not_broadcast_the_dealt_classes(spark):
+    df = spark.createDataFrame([(i, i * 77) for i in range(9)], "k long, h long")
+    out = R.hamming_pairs(df, "k", "h")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_hamming_pairs_tell_the_members_of_classes(spark, tmp_path):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((4, 64))
